@@ -20,5 +20,20 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def secret_digest(documents: DataFrame) -> DataFrame:
+    """Counts and digests of the spans that find_secrets finds."""
+    from lamina.llm.secrets import KINDS, find_secrets, spans_text
+
+    base = F.filter("spans", lambda s: s["ord"] < 3)
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [of(kind) for kind in KINDS[:3]]
+    return find_secrets(documents).select("doc_id", *counts, F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of all documents."""
+    return secret_digest(_documents(spark, sf_dir))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets}
 SQL: dict[str, str] = {}
