@@ -35,5 +35,17 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets}
+def quality_counts(documents: DataFrame) -> DataFrame:
+    """What quality() finds, without the cleaned texts."""
+    from lamina.llm.quality import quality
+
+    return quality(documents).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts and verdicts of all documents."""
+    return quality_counts(_documents(spark, sf_dir))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op6_quality": op6_quality}
 SQL: dict[str, str] = {}
