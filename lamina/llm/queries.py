@@ -47,5 +47,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_counts(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op6_quality": op6_quality}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that stand in documents, exactly or as templates."""
+    from lamina.llm.decontaminate import leaks
+
+    return leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op6_quality": op6_quality, "op8_decontamination": op8_decontamination}
 SQL: dict[str, str] = {}
