@@ -54,5 +54,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op6_quality": op6_quality, "op8_decontamination": op8_decontamination}
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near-duplicate documents."""
+    from lamina.llm.jaccard import jaccard_components
+
+    return jaccard_components(_documents(spark, sf_dir))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op6_quality": op6_quality, "op8_decontamination": op8_decontamination, "op9_jaccard": op9_jaccard}
 SQL: dict[str, str] = {}
