@@ -61,5 +61,19 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op6_quality": op6_quality, "op8_decontamination": op8_decontamination, "op9_jaccard": op9_jaccard}
+def toxicity_digest(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """Scores of all documents by the model of their labelled rows outside the held-out fold."""
+    from lamina.llm.common import crc_mod
+    from lamina.llm.toxicity import FOLDS, fit_toxicity, score_toxicity
+
+    scored = score_toxicity(documents, fit_toxicity(documents, labels))
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score", "predicted")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    return toxicity_digest(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op6_quality": op6_quality, "op8_decontamination": op8_decontamination, "op9_jaccard": op9_jaccard, "op10_toxicity": op10_toxicity}
 SQL: dict[str, str] = {}
