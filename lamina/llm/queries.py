@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,5 +76,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_digest(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op6_quality": op6_quality, "op8_decontamination": op8_decontamination, "op9_jaccard": op9_jaccard, "op10_toxicity": op10_toxicity}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole corpus pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op6_quality": op6_quality, "op8_decontamination": op8_decontamination, "op9_jaccard": op9_jaccard, "op10_toxicity": op10_toxicity,
+    "pipeline": pipeline,
+}
 SQL: dict[str, str] = {}
