@@ -9,6 +9,7 @@ for a batch, however often it occurs.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
@@ -37,7 +38,7 @@ LATER = (
 )
 
 #: Distinct words whose ids a worker keeps, and bytes of text that it works on at a time.
-CACHE_WORDS, CHUNK_BYTES = 400_000, 8 << 20
+CACHE_WORDS, CHUNK_BYTES = 400_000, 12 << 20
 
 
 def _split_patterns() -> tuple:
@@ -47,6 +48,13 @@ def _split_patterns() -> tuple:
     return regex.compile(SPLIT).findall, regex.compile("(?V1)" + exact).findall, regex.compile(f"[{late}]").search
 
 
+def _near_pattern() -> tuple:
+    """The same pattern for texts below U+0250 in the faster re module, and a search for characters beyond."""
+    letter, digit, space = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\\t-\\r \\x85\\xa0"
+    near = f" ?[{letter}]+| ?[{digit}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{space}{letter}{digit}]+|[{space}]+(?![^{space}])|[{space}]+"
+    return re.compile(near).findall, re.compile("[^\x00-\u024f]").search
+
+
 def _byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in the vocabulary file: printable Latin-1 for itself, the others from U+0100 on."""
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -73,15 +81,96 @@ class Vocabulary:
             self.rank.setdefault((ids[left], ids[right]), len(self.merged))
             self.merged.append(ids[left + right])
         self.fast, self.exact, self.late = _split_patterns()
+        self.near, self.far = _near_pattern()
+        # Pairs as sorted numbers with their ranks, for whole arrays; whether no merge can bring up a pair that ranks before it.
+        pairs = np.array([a << 32 | b for a, b in self.rank], np.int64)
+        order = np.argsort(pairs)
+        self.pairs, self.pair_ranks = pairs[order], np.fromiter(self.rank.values(), np.int64)[order]
+        self.sides = {r: p for p, r in self.rank.items()}
+        first: dict[int, int] = {}
+        for token, r in zip(self.merged, range(len(self.merged))):
+            first.setdefault(token, r)
+        self.ordered = all(first.get(x, -1) < r for p, r in self.rank.items() for x in p)
 
     def words(self, text: str) -> list[str]:
         """The parts of text that merges don't cross."""
-        if self.late(text) if not text.isascii() else False:
-            return self.exact(text)
-        return self.fast(text)
+        if text.isascii() or not self.far(text):
+            return self.near(text)
+        return self.exact(text) if self.late(text) else self.fast(text)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, -1 where it has none."""
+        key = left << np.int64(32) | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == key) & (left >= 0) & (right >= 0), self.pair_ranks[at], -1)
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as little-endian unsigned 32-bit integers; each pair is merged at all its positions at once."""
+        if not self.ordered or not words or not len(self.pairs):
+            return [np.asarray(x, "<u4").tobytes() for x in self.merge(words)]
+        data = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes + 1) - 1
+        symbol = np.asarray(self.byte_ids, np.int64)[data]
+        symbol[ends] = -1  # no pair spans two words
+        n = len(symbol)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        where: dict[int, list[np.ndarray]] = {}
+
+        def index(ranks: np.ndarray, places: np.ndarray) -> list[int]:
+            """Enter positions in the lists of their pairs; the pairs that had none."""
+            good = ranks >= 0
+            ranks, places = ranks[good], places[good]
+            if not len(ranks):
+                return []
+            order = np.argsort(ranks, kind="stable")
+            ranks, places = ranks[order], places[order]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            starts = [0, *cuts.tolist()]
+            new = []
+            for r, a, b in zip(ranks[starts].tolist(), starts, [*starts[1:], len(ranks)]):
+                if r in where:
+                    where[r].append(places[a:b])
+                else:
+                    where[r] = [places[a:b]]
+                    new.append(r)
+            return new
+
+        active = index(self._ranks(symbol[:-1], symbol[1:]), np.arange(n - 1))
+        heapify(active)
+        while active:
+            r = heappop(active)
+            (left, right), new, lists = self.sides[r], self.merged[r], where.pop(r)
+            places = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+            places = places[symbol[places] == left]
+            second = after[places]
+            good = symbol[second] == right
+            places, second = places[good], second[good]
+            if left == right and len(places) > 1:  # of overlapping positions the first is taken, then every other one
+                taken, last = [], -1
+                for k, (i, j) in enumerate(zip(places.tolist(), second.tolist())):
+                    if i != last:
+                        taken.append(k)
+                        last = j
+                places, second = places[taken], second[taken]
+            if not len(places):
+                continue
+            beyond, ahead = after[second], before[places]
+            symbol[places], symbol[second] = new, -2
+            after[places] = beyond
+            before[beyond] = places  # a word's end mark is always beyond
+            ahead = before[places]
+            ahead, own = ahead[ahead >= 0], places[ahead >= 0]
+            for x in index(np.concatenate([self._ranks(symbol[places], symbol[beyond]), self._ranks(symbol[ahead], symbol[own])]), np.concatenate([places, ahead])):
+                heappush(active, x)
+        kept = symbol >= 0
+        total = np.concatenate([[0], np.cumsum(kept)])
+        ids = symbol[kept].astype("<u4").tobytes()
+        starts = (total[ends - sizes] * 4).tolist()
+        return [ids[a:b] for a, b in zip(starts, (total[ends] * 4).tolist())]
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word, by the pair occurrence index over all of them."""
+        """Ids of each word, by the pair occurrence index over all of them, position by position: right for any order of ranks."""
         ids, rank, merged = self.byte_ids, self.rank, self.merged
         symbol: list[int] = []
         bounds = [0]
@@ -147,8 +236,7 @@ class Vocabulary:
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
             new = list({w for words in split for w in words}.difference(special))
-        for w, found in zip(new, self.merge([w.encode("utf-8") for w in new])):
-            cache[w] = np.asarray(found, "<u4").tobytes()
+        cache.update(zip(new, self.merge_all([w.encode("utf-8") for w in new])))
         cache.update(special)
         get = cache.__getitem__
         return [b"".join(map(get, words)) for words in split]

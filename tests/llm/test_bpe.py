@@ -55,6 +55,13 @@ def test_lower_ranks_that_come_up_go_first():
     for _ in range(200):
         word = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 12)))
         assert ours.merge([word.encode()])[0] == library.encode(word).ids
+    assert not ours.ordered and OURS.ordered
+
+
+def test_both_ways_to_merge_agree():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aab hé\0t,e日") for _ in range(rng.randint(0, 30))).encode() for _ in range(500)]
+    assert OURS.merge_all(words) == [np.asarray(x, "<u4").tobytes() for x in OURS.merge(words)]
 
 
 def test_frame(spark):
