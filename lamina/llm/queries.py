@@ -76,13 +76,35 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_digest(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def warc_round_trip(pages: DataFrame) -> DataFrame:
+    """What the archives of all pages say of them, read back by their index."""
+    from lamina.llm.common import shared_path
+    from lamina.llm.warc import read_warc, write_warc
+
+    back = read_warc(write_warc(pages, shared_path(pages.sparkSession, "warc")))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WARC records of all pages, written and read back."""
+    return warc_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages."""
+    from lamina.llm.html import extract_main_text, fit_weights
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return extract_main_text(pages, fit_weights(pages))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole corpus pipeline."""
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {
-    "op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op6_quality": op6_quality, "op8_decontamination": op8_decontamination, "op9_jaccard": op9_jaccard, "op10_toxicity": op10_toxicity,
+    "op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_html": op7_html, "op8_decontamination": op8_decontamination, "op9_jaccard": op9_jaccard, "op10_toxicity": op10_toxicity,
     "pipeline": pipeline,
 }
 SQL: dict[str, str] = {}
