@@ -76,6 +76,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_digest(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def lm_scores(documents: DataFrame) -> DataFrame:
+    """Scores of all documents by the model of those that aren't held out."""
+    from lamina.llm.common import crc_mod
+    from lamina.llm.lm import FOLDS, fit_kneser_ney, score_kneser_ney, training_rows
+
+    scored = score_kneser_ney(documents, fit_kneser_ney(training_rows(documents)))
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents."""
+    return lm_scores(_documents(spark, sf_dir))
+
+
 def warc_round_trip(pages: DataFrame) -> DataFrame:
     """What the archives of all pages say of them, read back by their index."""
     from lamina.llm.common import shared_path
@@ -104,7 +118,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_html": op7_html, "op8_decontamination": op8_decontamination, "op9_jaccard": op9_jaccard, "op10_toxicity": op10_toxicity,
+    "op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op4_lm": op4_lm, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_html": op7_html, "op8_decontamination": op8_decontamination, "op9_jaccard": op9_jaccard, "op10_toxicity": op10_toxicity,
     "pipeline": pipeline,
 }
 SQL: dict[str, str] = {}
