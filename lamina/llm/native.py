@@ -24,21 +24,24 @@ def paired(hashes: Column, distance: int) -> Column:
     return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(distance + 1), n), lambda a, b: F.xxhash64(a, b))
 
 
-def covered(hashes: Column, width: int) -> Column:
-    """How many positions lie in windows whose hash occurs twice or more; window i has the positions from i to i + width - 1."""
-    at = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    return _covered_sorted(at, width)
+def placed(hashes: Column) -> Column:
+    """Pairs of hash and position, sorted."""
+    return F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
 
-def _covered_sorted(at: Column, width: int) -> Column:
-    # One pass over the sorted pairs: a pair counts if its neighbour before or after has the same hash.
-    size = F.size(at)
+def repeated_places(at: Column) -> Column:
+    """Of placed() hashes the positions, in order, of those that occur twice or more. at should be a plain column, as it is read several times."""
+    size = F.greatest(F.size(at) - 1, F.lit(0))
     none = F.array(F.lit(None).cast("struct<h:bigint,i:int>"))
-    before = F.concat(none, F.slice(at, F.lit(1), F.greatest(size - 1, F.lit(0))))
-    after = F.concat(F.slice(at, F.lit(2), F.greatest(size - 1, F.lit(0))), none)
+    # A pair counts if its neighbour before or after has the same hash.
+    before, after = F.concat(none, F.slice(at, F.lit(1), size)), F.concat(F.slice(at, F.lit(2), size), none)
     same = F.zip_with(before, after, lambda b, a: F.struct(b["h"].alias("b"), a["h"].alias("a")))
     marked = F.zip_with(at, same, lambda x, s: F.when((x["h"] == s["b"]) | (x["h"] == s["a"]), x["i"]))
-    places = F.array_sort(F.filter(marked, lambda i: i.isNotNull()))
+    return F.array_sort(F.filter(marked, lambda i: i.isNotNull()))
+
+
+def covered(places: Column, width: int) -> Column:
+    """How many positions the windows of so many positions have that begin at the sorted places."""
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n"))
     step = lambda acc, i: F.struct((i + width).alias("end"), (acc["n"] + width - F.greatest(acc["end"] - i, F.lit(0))).alias("n"))
     return F.aggregate(places, start, step, lambda acc: acc["n"])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.common import SPACE
-from lamina.llm.native import covered, paired, words
+from lamina.llm.native import covered, paired, placed, repeated_places, words
 
 # The base rules.
 SYMBOLS = "#*$%&|<>"
@@ -37,8 +37,9 @@ def _symbols(text: Column) -> Column:
 def line_passes(line: Column) -> Column:
     """Whether a line with a word passes the punctuation, navigation and boilerplate rules."""
     punctuation = _symbols(line) <= F.length(line) * MAX_SYMBOL_SHARE
-    navigation = ~line.rlike(r"(?:[|»›>•·][^|»›>•·]*){%d}" % MENU_MARKS)
-    shouting = ~line.rlike(r"^[^\p{Ll}]*(?:\p{Lu}[^\p{Ll}]*){%d}$" % SHOUT_LETTERS)
+    # Possessive repeats, so that no line is gone over again and again.
+    navigation = ~line.rlike(r"(?:[|»›>•·][^|»›>•·]*+){%d}" % MENU_MARKS)
+    shouting = F.when(line.rlike(r"\p{Ll}"), F.lit(True)).otherwise(~line.rlike(r"(?:\p{Lu}[^\p{Lu}]*+){%d}" % SHOUT_LETTERS))
     return punctuation & navigation & shouting & ~line.rlike(BOILERPLATE)
 
 
@@ -55,11 +56,14 @@ def quality(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc
     h = split.select(*keep, "__t", "__lines", F.size("__w").cast("bigint").alias("n_words"), F.transform("__w", lambda w: F.xxhash64(w)).alias("__h1"))
     for k in (1, 2, 4):
         h = h.select(*keep, "__t", "__lines", "n_words", paired(F.col(f"__h{k}"), k).alias(f"__h{2 * k}"))
+    # Only texts that repeat a window are sorted.
     repeats = F.size(F.array_distinct("__h8")) < F.size("__h8")
+    h = h.select(*keep, "__t", "__lines", "n_words", F.when(repeats, placed(F.col("__h8"))).alias("__at"))
+    h = h.select(*keep, "__t", "__lines", "n_words", F.when(F.col("__at").isNotNull(), repeated_places(F.col("__at"))).alias("__at"))
     counted = h.select(
         *keep, "__t", "n_words", _len(F.regexp_replace(t, f"[{SPACE}]+", "")).alias("word_chars"), _symbols(t).cast("bigint").alias("n_symbols"),
         F.array_distinct("__lines").alias("__lines"), F.size("__lines").alias("__n"),
-        F.when(repeats, covered(F.col("__h8"), REPEAT_WORDS)).otherwise(F.lit(0)).cast("bigint").alias("n_repeat_words"),
+        F.when(F.col("__at").isNotNull(), covered(F.col("__at"), REPEAT_WORDS)).otherwise(F.lit(0)).cast("bigint").alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     cleaned = counted.select(
