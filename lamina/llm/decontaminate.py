@@ -29,36 +29,28 @@ MAX_BROADCAST = 2_000_000
 _TOKEN = r"\p{N}+(?:[.,]\p{N}+)*|\p{L}+"
 
 
-def _is_slot(token: Column) -> Column:
-    first = F.substring(token, 1, 1)
-    return ((first >= "0") & (first <= "9")) | (token != F.lower(token)) | F.lower(token).isin(*UNITS)
-
-
 def _template(token: Column) -> Column:
-    """A token as the template has it: a placeholder by its type, or itself in lower case."""
+    """A token as the template has it: a placeholder by its type, or itself, which then is in lower case."""
     first = F.substring(token, 1, 1)
-    kind = F.when((first >= "0") & (first <= "9"), "<number>").when(F.lower(token).isin(*UNITS), "<unit>").when(token != F.lower(token), "<name>")
-    return F.coalesce(kind, token)
+    return F.when((first >= "0") & (first <= "9"), "<number>").when(token != F.lower(token), "<name>").when(token.isin(*UNITS), "<unit>").otherwise(token)
 
 
 def windows(df: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
-    """The windows of every whole text: the columns of keep, __values (a hash for each slot token, else null), __n (windows of a kind), and for each window __h, __at, __kind."""
+    """The windows of every whole text: the columns of keep, __t (all tokens), __n (windows of a kind), and for each window __h, __at, __template."""
     tokens = df.select(*keep, F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(_TOKEN), F.lit(0)).alias("__t"))
-    h = tokens.select(
-        *keep, F.transform("__t", lambda x: F.when(_is_slot(x), F.xxhash64(F.lower(x)))).alias("__values"),
-        F.transform("__t", lambda x: F.xxhash64(F.lower(x))).alias("__a1"), F.transform("__t", lambda x: F.xxhash64(_template(x), F.lit(1))).alias("__b1"),
-    )
+    h = tokens.select(*keep, "__t", F.transform("__t", lambda x: F.xxhash64(F.lower(x))).alias("__a1"), F.transform("__t", lambda x: F.xxhash64(_template(x), F.lit(1))).alias("__b1"))
     for k in (1, 2, 4):
-        h = h.select(*keep, "__values", paired(F.col(f"__a{k}"), k).alias(f"__a{2 * k}"), paired(F.col(f"__b{k}"), k).alias(f"__b{2 * k}"))
+        h = h.select(*keep, "__t", paired(F.col(f"__a{k}"), k).alias(f"__a{2 * k}"), paired(F.col(f"__b{k}"), k).alias(f"__b{2 * k}"))
     # An array of hashes for the words, then one for the templates; the place in it says which.
-    n = F.size("__a8")
-    placed = h.select(*keep, "__values", n.alias("__n"), F.concat("__a8", "__b8").alias("__hs"))
-    out = placed.select(*keep, "__values", "__n", F.posexplode("__hs").alias("__i", "__h"))
-    return out.select(*keep, "__values", "__n", "__h", (F.col("__i") % F.col("__n")).alias("__at"), (F.col("__i") >= F.col("__n")).alias("__template"))
+    placed = h.select(*keep, "__t", F.size("__a8").alias("__n"), F.concat("__a8", "__b8").alias("__hs"))
+    # The outer form, as for the other one Spark infers a filter that computes the arrays again from the text, nested in each other.
+    out = placed.select(*keep, "__t", "__n", F.posexplode_outer("__hs").alias("__i", "__h")).where("__h IS NOT NULL")
+    return out.select(*keep, "__t", "__n", "__h", (F.col("__i") % F.col("__n")).alias("__at"), (F.col("__i") >= F.col("__n")).alias("__template"))
 
 
-def _slots(values: Column, at: Column) -> Column:
-    return F.filter(F.slice(values, at + 1, F.lit(WIDTH)), lambda v: v.isNotNull())
+def _slots(tokens: Column, at: Column) -> Column:
+    """What stands in the slots of the window at a place, in lower case and order."""
+    return F.transform(F.filter(F.slice(tokens, at + 1, F.lit(WIDTH)), lambda x: _template(x) != x), lambda x: F.lower(x))
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -71,7 +63,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", id
 
     Documents aren't shuffled for the join while the benchmark has at most MAX_BROADCAST windows; only matches are grouped, by document, item and alignment."""
     items = windows(benchmark.select(F.col(item_col).alias("__item"), F.col(item_text_col).alias("__text")), "__text", ("__item",))
-    items = items.select("__item", "__h", F.col("__template"), F.col("__at").alias("__item_at"), F.col("__n").alias("__item_n"), _slots(F.col("__values"), F.col("__at")).alias("__item_slots"))
+    items = items.select("__item", "__h", F.col("__template"), F.col("__at").alias("__item_at"), F.col("__n").alias("__item_n"), _slots(F.col("__t"), F.col("__at")).alias("__item_slots"))
     items = items.where(~F.col("__template") | (F.size("__item_slots") <= MAX_SLOTS)).distinct()
     if benchmark.select(F.sum(F.octet_length(item_text_col))).first()[0] or 0:
         small = items.count() <= MAX_BROADCAST
@@ -80,7 +72,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", id
     texts = documents.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
     found = windows(texts, "__text", ("__doc",))
     joined = found.join(F.broadcast(items) if small else items, ["__h", "__template"])
-    pairs = F.when(F.col("__template"), F.zip_with("__item_slots", _slots(F.col("__values"), F.col("__at")), lambda i, d: F.struct(i.alias("i"), d.alias("d"))))
+    pairs = F.when(F.col("__template"), F.zip_with("__item_slots", _slots(F.col("__t"), F.col("__at")), lambda i, d: F.struct(i.alias("i"), d.alias("d"))))
     lined = joined.select("__doc", "__item", "__template", (F.col("__at") - F.col("__item_at")).alias("__shift"), "__item_at", "__item_n", pairs.alias("__pairs"))
     grouped = lined.groupBy("__doc", "__item", "__template", "__shift").agg(
         F.size(F.collect_set("__item_at")).cast("long").alias("n"), F.max("__item_n").alias("__of"), F.array_distinct(F.flatten(F.collect_set("__pairs"))).alias("__pairs")

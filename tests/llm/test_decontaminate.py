@@ -14,7 +14,7 @@ def tokens(text):
 
 
 def kind_of(x):
-    return "<number>" if x[0].isdigit() else "<unit>" if x.lower() in D.UNITS else "<name>" if x != x.lower() else None
+    return "<number>" if x[0].isdigit() else "<name>" if x != x.lower() else "<unit>" if x in D.UNITS else None
 
 
 def brute(docs, items):
