@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructType
 
 from lamina.sources.footer import CHUNKS, PAGE_ROWS, _arrow, chunk_rows, page_rows, read_footer
 from lamina.sources.locations import open_file, resolve
@@ -60,15 +60,16 @@ class _PagesReader(_Reader):
         with open_file(partition.value) as f:
             for chunk in chunk_rows(partition.value, read_footer(f)):
                 if chunk["num_values"] and (rows := list(page_rows(f, chunk))):
-                    yield _arrow(rows, _parse_datatype_string(PAGE_ROWS))
+                    yield _arrow(rows, self.schema)
 
 
 class _SampleReader(_Reader):
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        from lamina.sources.sample import sample_batches
+        from lamina.sources.sample import sample_batches, spark_schema
 
         names = [f.name for f in self.schema.fields]
-        yield from sample_batches(partition.value, names, int(self.options.get("rows", SAMPLE_ROWS)))
+        for batch in sample_batches(partition.value, names, int(self.options.get("rows", SAMPLE_ROWS))):
+            yield pa.Table.from_batches([batch]).cast(spark_schema(batch.schema)).combine_chunks().to_batches()[0]
 
 
 class FooterSource(DataSource):
@@ -109,9 +110,9 @@ class SampleSource(DataSource):
     def schema(self) -> StructType:
         from pyspark.sql.pandas.types import from_arrow_schema
 
-        from lamina.sources.sample import arrow_schema
+        from lamina.sources.sample import arrow_schema, spark_schema
 
-        return from_arrow_schema(arrow_schema(_files(self.options)[0]))
+        return from_arrow_schema(spark_schema(arrow_schema(_files(self.options)[0])))
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _SampleReader(schema, self.options)

@@ -16,6 +16,12 @@ def arrow_schema(address: str) -> pa.Schema:
         return pq.ParquetFile(f).schema_arrow
 
 
+def spark_schema(schema: pa.Schema) -> pa.Schema:
+    """The schema with types that Spark has: unsigned numbers as wider signed ones, as Spark reads them."""
+    wider = {pa.uint8(): pa.int16(), pa.uint16(): pa.int32(), pa.uint32(): pa.int64(), pa.uint64(): pa.decimal128(20, 0)}
+    return pa.schema([f.with_type(wider.get(f.type, f.type)) for f in schema])
+
+
 def sample_batches(address: str, columns: list[str], rows: int) -> Iterator[pa.RecordBatch]:
     """At most so many rows of the first row group with rows (of none, nothing)."""
     with open_file(address) as f:
