@@ -76,6 +76,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_digest(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def repeat_digest(documents: DataFrame) -> DataFrame:
+    """What remove_repeats removes, and a digest of what it keeps."""
+    from lamina.llm.suffix import remove_repeats
+
+    return remove_repeats(documents).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated strings removed from all documents."""
+    return repeat_digest(_documents(spark, sf_dir))
+
+
 def lm_scores(documents: DataFrame) -> DataFrame:
     """Scores of all documents by the model of those that aren't held out."""
     from lamina.llm.common import crc_mod
@@ -118,7 +130,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op4_lm": op4_lm, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_html": op7_html, "op8_decontamination": op8_decontamination, "op9_jaccard": op9_jaccard, "op10_toxicity": op10_toxicity,
+    "op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op3_suffix": op3_suffix, "op4_lm": op4_lm, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_html": op7_html, "op8_decontamination": op8_decontamination, "op9_jaccard": op9_jaccard, "op10_toxicity": op10_toxicity,
     "pipeline": pipeline,
 }
 SQL: dict[str, str] = {}
