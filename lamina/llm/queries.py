@@ -6,6 +6,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.llm.oracles import quality_sql, secrets_sql
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -133,4 +135,4 @@ QUERIES = {
     "op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op3_suffix": op3_suffix, "op4_lm": op4_lm, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_html": op7_html, "op8_decontamination": op8_decontamination, "op9_jaccard": op9_jaccard, "op10_toxicity": op10_toxicity,
     "pipeline": pipeline,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_secrets": secrets_sql(), "op6_quality": quality_sql()}
