@@ -398,3 +398,90 @@ def benchmark_report(spark: SparkSession, sf: str) -> DataFrame:
 
     before = spark.createDataFrame([(0, "a", 8.0, 4.0), (1, "b", 8.0, 16.0)], MEASURES)
     return report(before, spark.createDataFrame([(0, "a", 16.0, 2.0), (1, "b", 8.0, 8.0)], MEASURES))
+
+
+# -- the directive language -------------------------------------------------------------------------------------------
+
+_TEXT = """set file compression zstd(3)
+set file max_row_group_size 65536   # rows
+set file data_page_size_limit 1048576
+set file statistics_truncate_length 64
+set column a.b compression gzip(6)
+set column a.b encoding byte_stream_split
+set column a.b dictionary false
+set column a.b dictionary_page_size_limit 4194304
+set column a.b statistics page
+set column a.b bloom_filter true
+set column a.b bloom_filter_ndv 1000
+set column a.b bloom_filter_fpp 0.01"""
+_LINES = [x.split("#")[0].split()[1:] for x in _TEXT.split("\n")]
+
+
+def _literals(rows: list[tuple], names: str) -> str:
+    shown = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(shown, r)) + ")" for r in rows) + f") AS t({names})"
+
+
+@query(_literals([(i, x[0], x[1] if x[0] == "column" else None, x[-2], x[-1]) for i, x in enumerate(_LINES)], "ordinal, scope, path, property, value"))
+def dsl_directives(spark: SparkSession, sf: str) -> DataFrame:
+    """A text with each of the twelve directives, parsed and shown again."""
+    from lamina.plans.dsl import Prescription
+
+    rows = [(i, "file" if d.path is None else "column", d.path, d.property, d.shown) for i, d in enumerate(Prescription.parse(str(Prescription.parse(_TEXT))))]
+    return spark.createDataFrame(rows, "ordinal int, scope string, path string, property string, value string")
+
+
+_CODECS = (("snappy", "snappy"), ("uncompressed", "uncompressed"), ("lz4_raw", "lz4_raw"), ("zstd(22)", "zstd(22)"), ("zstd(23)", None), ("zstd", None), ("gzip(0)", "gzip(0)"), ("gzip(10)", None), ("brotli(11)", "brotli(11)"), ("lz4", None), ("ZSTD(3)", None))
+
+
+@query(_literals(list(_CODECS), "text, shown"))
+def codec_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Codecs as they are parsed, null where the text is none."""
+    from lamina.plans.dsl import Codec
+
+    def shown(text: str) -> str | None:
+        try:
+            return str(Codec.parse(text))
+        except ValueError:
+            return None
+
+    return spark.createDataFrame([(t, shown(t)) for t, _ in _CODECS], "text string, shown string")
+
+
+_OPTIONS = [
+    ("compression", "zstd"), ("parquet.compression.codec.zstd.level", "3"), ("parquet.block.row.count.limit", "65536"), ("parquet.page.size", "1048576"), ("parquet.statistics.truncate.length", "64"), ("parquet.columnindex.truncate.length", "64"),
+    ("parquet.enable.dictionary#a.b", "false"), ("parquet.dictionary.page.size", "4194304"), ("parquet.column.statistics.enabled#a.b", "true"), ("parquet.bloom.filter.enabled#a.b", "true"), ("parquet.bloom.filter.expected.ndv#a.b", "1000"),
+    ("parquet.bloom.filter.fpp#a.b", "0.01"),
+]
+
+
+@query(_literals(_OPTIONS, "option, value"))
+def native_writer_options(spark: SparkSession, sf: str) -> DataFrame:
+    """Options of Spark's writer for the twelve directives."""
+    from lamina.plans.dsl import Prescription
+    from lamina.plans.writer import native_options
+
+    return spark.createDataFrame([(k, str(v)) for k, v in native_options(Prescription.parse(_TEXT))[0].items()], "option string, value string")
+
+
+@query(_literals([("a.b", "compression", "gzip(6)"), ("a.b", "encoding", "byte_stream_split")], "path, property, value"))
+def native_unapplied(spark: SparkSession, sf: str) -> DataFrame:
+    """Directives that Spark's writer can't apply."""
+    from lamina.plans.dsl import Prescription
+    from lamina.plans.writer import native_options
+
+    return spark.createDataFrame([(d.path, d.property, d.shown) for d, _ in native_options(Prescription.parse(_TEXT))[1]], "path string, property string, value string")
+
+
+@query(f"SELECT tbl, path, CASE type WHEN 'BYTE_ARRAY' THEN 'utf8' WHEN 'DOUBLE' THEN 'float64' WHEN 'FLOAT' THEN 'float32' WHEN 'INT32' THEN 'int32' ELSE CASE WHEN path IN ('ts', 'l_shipdate', 'o_orderdate') THEN 'timestamp(us,none)' ELSE 'int64' END END AS arrow_type FROM {_META} GROUP BY ALL")
+def column_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Arrow types of all leaf columns."""
+    return _named(P.column_totals(_chunks(spark, sf)).withColumn("arrow_type", fn.arrow_type(F.col))).select("tbl", "path", "arrow_type")
+
+
+@query(f"SELECT tbl, path, CASE WHEN type = 'BYTE_ARRAY' THEN 'string' WHEN type IN ('DOUBLE', 'FLOAT') THEN 'float' ELSE 'int' END AS kind, true AS text_by_name FROM {_META} GROUP BY ALL")
+def column_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Kinds of statistics of all leaf columns, and whether a byte column of the name or type holds text."""
+    totals = P.column_totals(_chunks(spark, sf))
+    text = (F.col("physical_type") != "BYTE_ARRAY") | fn.is_text(F.col("logical_type"), F.col("path"))
+    return _named(totals.withColumn("kind", fn.kind(F.col("physical_type"), F.col("logical_type"))).withColumn("text_by_name", text)).select("tbl", "path", "kind", "text_by_name")
