@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lamina.llm.common import lean
+
 # Fixed values of the public byte-level scheme: the pattern that splits text before the merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -38,7 +40,7 @@ LATER = (
 )
 
 #: Distinct words whose ids a worker keeps, and bytes of text that it works on at a time.
-CACHE_WORDS, CHUNK_BYTES = 400_000, 12 << 20
+CACHE_WORDS, CHUNK_BYTES = 250_000, 5 << 20
 
 
 def _split_patterns() -> tuple:
@@ -306,7 +308,7 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", keep:
                 yield pa.RecordBatch.from_arrays(columns, [*names, "ids", "n_tokens", *["decoded"] * decode])
 
     schema = T.StructType([*_fields(df, names), T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())] + [T.StructField("decoded", T.StringType())] * decode)
-    return df.select(*names, F.col(text_col).alias("__text")).mapInArrow(work, schema)
+    return df.select(*names, F.col(text_col).alias("__text")).mapInArrow(lean(work), schema)
 
 
 def bpe_decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -322,4 +324,4 @@ def bpe_decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", keep: t
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), found], [*names, "decoded"])
 
     schema = T.StructType([*_fields(df, names), T.StructField("decoded", T.StringType())])
-    return df.select(*names, F.col(ids_col).alias("__ids")).mapInArrow(work, schema)
+    return df.select(*names, F.col(ids_col).alias("__ids")).mapInArrow(lean(work), schema)

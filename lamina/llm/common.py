@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +63,37 @@ def crc_mod(id_col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
+# ---------------------------------------------------------------------------------------------------------------------
+# Memory of Python workers
+# ---------------------------------------------------------------------------------------------------------------------
+
+
+def lean(work):
+    """work for mapInArrow, with what a task has freed given back to the machine: workers live on, and what they keep counts against those that run beside them."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        libc = None
+        if sys.platform == "linux":
+            try:
+                libc = ctypes.CDLL("libc.so.6")
+                libc.mallopt(-3, 1 << 20)  # arrays of 1 MiB and more are mapped, and so given back when they are freed
+                pa.set_memory_pool(pa.system_memory_pool())
+            except (OSError, AttributeError):
+                libc = None  # another C library: nothing to tell it
+        try:
+            for n, batch in enumerate(work(batches)):
+                yield batch
+                if libc and n % 8 == 7:
+                    libc.malloc_trim(0)
+        finally:
+            gc.collect()
+            if libc:
+                libc.malloc_trim(0)
+
+    return run
+
+
 # ---------------------------------------------------------------------------------------------------------------------
 # Vectorised word hashing
 # ---------------------------------------------------------------------------------------------------------------------
@@ -99,7 +136,7 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 19) -> np.ndarray:
     """64-bit hashes of the byte spans, which lie in order and don't overlap. Equal bytes give equal hashes wherever they stand."""
     out = np.empty(len(starts), np.uint64)
     at = 0

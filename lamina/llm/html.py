@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lamina.llm.common import lean
+
 #: Labelled pages that the weights are fitted to at most (those with the smallest hash of their address and length).
 MAX_LABELLED = 400
 
@@ -235,4 +237,4 @@ def extract_main_text(df: DataFrame, weights: Weights, html_col: str = "html", k
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*names, "text", "n_chars"])
 
     schema = T.StructType([*(df.schema[c] for c in names), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return df.select(*names, F.col(html_col).cast("string").alias("__html")).mapInArrow(work, schema)
+    return df.select(*names, F.col(html_col).cast("string").alias("__html")).mapInArrow(lean(work), schema)

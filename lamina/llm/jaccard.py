@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import mix64, span_hashes, stored, text_bytes, word_spans
+from lamina.llm.common import lean, mix64, span_hashes, stored, text_bytes, word_spans
 from lamina.llm.components import components
 
 #: Words of a shingle.
@@ -32,7 +32,9 @@ MAX_BROADCAST, BLOCK = 1_000_000, 512
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _SINGLE = np.uint64(0xD6E8FEB86659FD93)
-_CHUNK = 4 << 20
+_CHUNK = 2 << 20
+#: Signatures that go out at a time.
+_ROWS = 300_000
 
 
 def shingles(text) -> np.ndarray:
@@ -165,14 +167,20 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(sigs: list, nodes: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), list(map(len, sigs))))], ["sig", "node"])
+
     for batch in batches:
-        nodes = batch.column(0).to_pylist()
-        sigs, counts = [], []
-        for h in _sets(batch.column(1).to_pylist()):
+        sigs, nodes, n = [], [], 0
+        for node, h in zip(batch.column(0).to_pylist(), _sets(batch.column(1).to_pylist())):
             sigs.append(signatures(h))
-            counts.append(len(sigs[-1]))
-        if sum(counts):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), counts))], ["sig", "node"])
+            nodes.append(node)
+            n += len(sigs[-1])
+            if n > _ROWS:
+                yield rows(sigs, nodes)
+                sigs, nodes, n = [], [], 0
+        if n:
+            yield rows(sigs, nodes)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,19 +290,19 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups of copies without their pairs; then nodes that share a signature and aren't joined yet are compared in blocks, by size and parity bits, then exactly."""
     texts = df.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
     keyed = texts.select("doc", F.xxhash64("text").alias("th"), "text")
-    profile = stored(keyed.mapInArrow(_profile, "doc long, th long, n long, sa long, sb long"), "profile")
+    profile = stored(keyed.mapInArrow(lean(_profile), "doc long, th long, n long, sa long, sb long"), "profile")
     nodes = stored(profile.where("n > 0 AND doc IS NOT NULL").groupBy("sa", "sb", "n").agg(F.min(F.struct("doc", "th")).alias("m")).select("sa", "sb", "n", F.col("m.doc").alias("node"), F.col("m.th").alias("th")), "nodes")
     copies = profile.where("doc IS NOT NULL").join(nodes.select(F.col("node").alias("doc"), "th"), ["doc", "th"], "left_anti").select("doc", "th").distinct()
     kept = keyed.where("doc IS NOT NULL").join(_small(copies), ["doc", "th"], "left_anti")
-    signed = kept.select(F.col("doc").alias("node"), "text").mapInArrow(_signed, "sig long, node long")
-    shared = stored(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long, lead long"), "shared")
+    signed = kept.select(F.col("doc").alias("node"), "text").mapInArrow(lean(_signed), "sig long, node long")
+    shared = stored(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(lean(_shared), "sig long, node long, lead long"), "shared")
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         wanted = nodes.join(ids, "node", "left_semi").select("node", "th")
-        sets = stored(keyed.join(_small(wanted), (F.col("doc") == F.col("node")) & (keyed["th"] == wanted["th"])).select("node", "text").mapInArrow(_with_sets, "node long, hashes binary, parity binary"), "sets")
+        sets = stored(keyed.join(_small(wanted), (F.col("doc") == F.col("node")) & (keyed["th"] == wanted["th"])).select("node", "text").mapInArrow(lean(_with_sets), "node long, hashes binary, parity binary"), "sets")
         one, two = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-        return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"), "links")
+        return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(lean(_linked), "a long, b long"), "links")
 
     # Each node with the lead of most of its signatures.
     often = shared.where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("c"))
@@ -310,8 +318,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = stored(rows.select(F.xxhash64("sig", F.least("side", "other"), F.greatest("side", "other")).alias("key"), "node", "component", "side").distinct(), "mixed")
     wanted = nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "th", "n")
     bits = keyed.join(_small(wanted), (F.col("doc") == F.col("node")) & (keyed["th"] == wanted["th"])).select("node", "n", "text")
-    bits = stored(bits.mapInArrow(_parities, "node long, n long, parity binary"), "parity")
-    near = rows.join(bits, "node").select("key", "node", "component", "side", "n", "parity").repartition("key").sortWithinPartitions("key", "node").mapInArrow(_close, "a long, b long")
+    bits = stored(bits.mapInArrow(lean(_parities), "node long, n long, parity binary"), "parity")
+    near = rows.join(bits, "node").select("key", "node", "component", "side", "n", "parity").repartition("key").sortWithinPartitions("key", "node").mapInArrow(lean(_close), "a long, b long")
     more = verified(stored(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near"))
     final = components(links.union(more))
     placed = profile.join(nodes.select("sa", "sb", "n", "node"), ["sa", "sb", "n"], "left").join(final, "node", "left")

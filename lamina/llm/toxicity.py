@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import crc_mod, span_hashes, text_bytes
+from lamina.llm.common import crc_mod, lean, span_hashes, text_bytes
 
 #: Bits of a word's place among the features, labelled rows that the fit takes at most (those with the smallest hash of their id), words that get a weight at most.
 BITS, MAX_LABELLED, MAX_WORDS = 20, 12_000, 3_000
@@ -36,7 +36,7 @@ IDENTITIES = (
 _LETTER = np.zeros(256, bool)
 _LETTER[128:] = True
 _LETTER[[*range(48, 58), *range(97, 123)]] = True
-_CHUNK = 4 << 20
+_CHUNK = 2 << 20
 
 
 def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +149,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     named = named.where(crc_mod(F.col("__id"), FOLDS) != 0).groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
     sample = named.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
     joined = documents.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(sample), "__id")
-    found = joined.select("__toxic", "__text").mapInArrow(_features, "toxic int, places binary").orderBy(F.xxhash64("places"), "places", "toxic").limit(2 * max_labelled).toArrow()
+    found = joined.select("__toxic", "__text").mapInArrow(lean(_features), "toxic int, places binary").orderBy(F.xxhash64("places"), "places", "toxic").limit(2 * max_labelled).toArrow()
     rows = [np.frombuffer(x.as_py(), "<u4") for x in found.column("places")]
     return fit_rows(found.column("toxic").to_numpy().astype(np.int64), rows, counterfactual)
 
@@ -174,4 +174,4 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text",
     from pyspark.sql import types as T
 
     schema = T.StructType([*(df.schema[c] for c in names), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return df.select(*names, F.col(text_col).cast("string").alias("__text")).mapInArrow(work, schema)
+    return df.select(*names, F.col(text_col).cast("string").alias("__text")).mapInArrow(lean(work), schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import stored
+from lamina.llm.common import lean, stored
 
 #: Rows that a broadcast may have; a larger side is shuffled. Bytes between two records that are read over, and bytes of a range at most (a longer record is a range of its own).
 MAX_BROADCAST, MAX_GAP, MAX_RANGE = 1_000_000, 64 << 10, 4 << 20
@@ -106,7 +106,7 @@ def write_warc(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str
                 out.close()
 
     payload = F.when(~revisit, F.col("payload"))
-    return stored(joined.select("id", "url", payload.alias("payload"), "sha", "size", "best", revisit.alias("again")).mapInArrow(work, _INDEX), "warc-index")
+    return stored(joined.select("id", "url", payload.alias("payload"), "sha", "size", "best", revisit.alias("again")).mapInArrow(lean(work), _INDEX), "warc-index")
 
 
 def ranges(places: list[tuple[int, int]]) -> list[tuple[int, int, list[tuple[int, int]]]]:
@@ -142,4 +142,4 @@ def read_warc(index: DataFrame) -> DataFrame:
                         found = [parse(data[o - start : o - start + n]) for o, n in records]
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names)
 
-    return index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset").mapInArrow(work, _READ)
+    return index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset").mapInArrow(lean(work), _READ)
