@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import crc_mod, mix64, shared_path, span_hashes, stored, text_bytes, word_spans
+from lamina.llm.common import crc_mod, lean, mix64, shared_path, span_hashes, stored, text_bytes, word_spans
 from lamina.llm.warc import _open
 
 #: Rows whose crc32 of the id modulo FOLDS is 0 are held out; the constant added to base counts.
 FOLDS, BASE_ADD = 10, 0.1
 #: Bytes of text worked on at a time, sums a task keeps before rows go out, text bytes for each bucket.
-_CHUNK, _KEPT, _BUCKET_BYTES = 4 << 20, 2_000_000, 6 << 20
+_CHUNK, _KEPT, _BUCKET_BYTES = 2 << 20, 1_000_000, 6 << 20
 
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _M1_INV, _M2_INV = (np.uint64(pow(m, -1, 1 << 64)) for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -70,13 +70,14 @@ class _Sums:
 
     def __init__(self, names: list[str]):
         self.names, self.parts, self.size, self.floor = names, [], 0, 0
+        self.most = max(1, 2 * _KEPT // len(names))  # the more numbers with a key, the fewer keys
 
     def add(self, keys: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.parts.append(_summed(keys, values))
         self.size += len(self.parts[-1][0])
-        if self.size > _KEPT + self.floor:
+        if self.size > self.most + self.floor:
             self.merge()
-            if self.size > _KEPT // 2:
+            if self.size > self.most // 2:
                 yield from self.out()
 
     def merge(self) -> None:
@@ -161,7 +162,7 @@ def _by_bucket(df: DataFrame, bits: int, folder: str, width: int, label: str) ->
     bucket = F.shiftrightunsigned("h", 64 - bits)
     # The order of unsigned numbers is that of signed ones with the first bit turned.
     sorted_ = df.repartition(max(4, (1 << bits) // 2), bucket).sortWithinPartitions(F.col("h").bitwiseXOR(F.lit(-(1 << 63))))
-    done = stored(sorted_.mapInArrow(_buckets(folder, bits, width), _SUMMARY), label)
+    done = stored(sorted_.mapInArrow(lean(_buckets(folder, bits, width)), _SUMMARY), label)
     return sorted(done.collect(), key=lambda r: r.bucket)
 
 
@@ -267,7 +268,7 @@ def fit_kneser_ney(df: DataFrame, text_col: str = "text") -> KneserNey:
                 yield from sums.add(np.concatenate([h, [START]]), np.concatenate([np.ones(len(h), np.int64), [0]]))
         yield from sums.out()
 
-    rows = _by_bucket(texts.mapInArrow(words, "h long, c long"), bits, f"{folder}/words", 1, "lm-words")
+    rows = _by_bucket(texts.mapInArrow(lean(words), "h long, c long"), bits, f"{folder}/words", 1, "lm-words")
     vocabulary = Table.of(rows, bits, 1)
     tokens, distinct = sum(r.sums[0] for r in rows), sum(r.positive for r in rows)
 
@@ -283,7 +284,7 @@ def fit_kneser_ney(df: DataFrame, text_col: str = "text") -> KneserNey:
                 yield from sums.add(pair, np.ones(len(pair), np.int64))
         yield from sums.out()
 
-    rows = _by_bucket(texts.mapInArrow(bigrams, "h long, c long"), bits, f"{folder}/bigrams", 1, "lm-bigrams")
+    rows = _by_bucket(texts.mapInArrow(lean(bigrams), "h long, c long"), bits, f"{folder}/bigrams", 1, "lm-bigrams")
     pairs = Table.of(rows, bits, 1)
     ones = [sum(r.small[k] for r in rows) for k in range(4)]
 
@@ -293,8 +294,8 @@ def fit_kneser_ney(df: DataFrame, text_col: str = "text") -> KneserNey:
         for batch in batches:
             for path, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = _mapped(path)
-                for at in range(0, n, 500_000):
-                    to = min(n, at + 500_000)
+                for at in range(0, n, 200_000):
+                    to = min(n, at + 200_000)
                     pair, c = unmix64(data[8 * at : 8 * to].view(np.uint64)), data[8 * (n + at) : 8 * (n + to)].view(np.int64)
                     zero = np.zeros(len(c), np.int64)
                     yield from sums.add(mix64(pair >> np.uint64(32)), np.stack([c, c == 1, c == 2, c > 2, zero], 1).astype(np.int64))
@@ -305,7 +306,7 @@ def fit_kneser_ney(df: DataFrame, text_col: str = "text") -> KneserNey:
     files = spark.createDataFrame([(r.path, r.n) for r in rows], "path string, n long")
     files = files.repartition(max(1, min(len(rows), 1 << bits)), "path")
     schema = "h long, total long, one long, two long, more long, before long"
-    stat_rows = _by_bucket(files.mapInArrow(statistics, schema), bits, f"{folder}/stats", 5, "lm-stats")
+    stat_rows = _by_bucket(files.mapInArrow(lean(statistics), schema), bits, f"{folder}/stats", 5, "lm-stats")
     stats = Table.of(stat_rows, bits, 5)
 
     def befores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +318,7 @@ def fit_kneser_ney(df: DataFrame, text_col: str = "text") -> KneserNey:
             yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in n], ["n1", "n2", "n3", "n4", "n5"])
 
     if stat_rows:
-        counted = spark.createDataFrame([(r.path, r.n) for r in stat_rows], "path string, n long").mapInArrow(befores, "n1 long, n2 long, n3 long, n4 long, n5 long").groupBy().sum().first()
+        counted = spark.createDataFrame([(r.path, r.n) for r in stat_rows], "path string, n long").mapInArrow(lean(befores), "n1 long, n2 long, n3 long, n4 long, n5 long").groupBy().sum().first()
     else:
         counted = (0, 0, 0, 0, 0)
     word_discounts, kinds = discounts(list(counted[:4])), sum(r.n for r in rows)
@@ -345,7 +346,7 @@ def score_kneser_ney(df: DataFrame, model: KneserNey, text_col: str = "text", ke
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *map(pa.array, found)], [*names, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     out = [T.StructField(c, t()) for c, t in zip(("n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"), (T.LongType,) * 3 + (T.DoubleType,) * 3)]
-    return df.select(*names, F.col(text_col).cast("string").alias("__text")).mapInArrow(work, T.StructType([*(df.schema[c] for c in names), *out]))
+    return df.select(*names, F.col(text_col).cast("string").alias("__text")).mapInArrow(lean(work), T.StructType([*(df.schema[c] for c in names), *out]))
 
 
 def training_rows(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
