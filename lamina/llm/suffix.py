@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.llm.common import _BYTE, _power_tables, mix64, shared_path, stored
+from lamina.llm.common import _BYTE, _power_tables, lean, mix64, shared_path, stored
 from lamina.llm.lm import _mapped, _save
 
 #: Bytes of a string that counts as repeated, and of the names that doubling starts from.
 LENGTH, GRAM = 100, 32
 #: Rows that a broadcast may have; larger sides are shuffled. Bytes of text worked on at a time, entries of a bucket file.
 MAX_BROADCAST, _CHUNK, _ENTRIES = 1_000_000, 1 << 20, 400_000
+#: Positions of which repeats are found before they are shuffled.
+_TOGETHER = 400_000
 
 _STARTS = LENGTH - GRAM + 1
 _PLACE = np.uint64((1 << 30) - 1)
@@ -96,13 +98,30 @@ def _batch(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranked positions. Of equal classes within a batch the first alone needs comparing with others: the rest are repeats already, and go out with a name that spreads them evenly and a
+    negative k, so that a passage that stands everywhere has a row for each batch under its name, not one for each text."""
     for batch in batches:
         doc, k = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        parts: list[tuple[np.ndarray, ...]] = []
         for first, data, bounds in _chunks(batch.column(2).to_pylist()):
             of, gram, context, place, before, after = anchors(data, bounds)
             if len(of):
                 # A place with the starts before and after it in one number, in the order of places.
-                yield _batch(["g", "f", "doc", "k", "at"], gram, context, doc[first + of], k[first + of], place << 20 | before << 10 | after + 512)
+                parts.append((gram, context, doc[first + of], k[first + of], place << 20 | before << 10 | after + 512))
+            if parts and sum(len(x[0]) for x in parts) > _TOGETHER:
+                yield _settled(parts)
+                parts = []
+        if parts:
+            yield _settled(parts)
+
+
+def _settled(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    g, f, doc, k, at = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((at, k, doc, f, g))
+    again = np.zeros(len(g), bool)
+    again[order[1:]] = (g[order[1:]] == g[order[:-1]]) & (f[order[1:]] == f[order[:-1]])
+    spread = mix64(doc.view(np.uint64) + at.view(np.uint64) * _K)
+    return _batch(["g", "f", "doc", "k", "at"], np.where(again, spread, g), f, doc, np.where(again, -1 - k, k).astype(np.int32), at)
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,6 +129,9 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, waiting, many = None, None, False
     for batch in batches:
         g, f, doc, k, at = (batch.column(i).to_numpy() for i in range(5))
+        if (known := k < 0).any():
+            yield _batch(["g", "doc", "k", "at", "settled"], np.zeros(known.sum(), np.int64), doc[known], (-1 - k[known]).astype(np.int32), at[known], np.full(known.sum(), True))
+            g, f, doc, k, at = (x[~known] for x in (g, f, doc, k, at))
         if not len(g):
             continue
         new_g = np.concatenate([[last is None or last[0] != g[0]], g[1:] != g[:-1]])
@@ -141,13 +163,16 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by rank and position all but the first of each rank."""
     last = None
     for batch in batches:
-        w = batch.column(0).to_numpy()
-        if len(w):
-            again = np.concatenate([[last is not None and last == w[0]], w[1:] == w[:-1]])
-            last = w[-1]
-            doc, k, p = (batch.column(i).to_numpy()[again] for i in (1, 2, 3))
-            if len(doc):
-                yield _batch(["doc", "k", "start", "end"], doc, k, p, p + LENGTH)
+        w, doc, k, p = (batch.column(i).to_numpy() for i in range(4))
+        known = k < 0
+        again, open_ = known.copy(), np.flatnonzero(~known)
+        if len(open_):
+            v = w[open_]
+            again[open_] = np.concatenate([[last is not None and last == v[0]], v[1:] == v[:-1]])
+            last = v[-1]
+        if again.any():
+            doc, k, p = doc[again], k[again], p[again]
+            yield _batch(["doc", "k", "start", "end"], doc, np.where(k < 0, -1 - k, k).astype(np.int32), p, p + LENGTH)
 
 
 def _keys(doc: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -196,9 +221,9 @@ class Lists:
                         parts.append((h[a:b].copy(), x[a:b].copy(), y[a:b].copy()))
             yield from close()
 
-        keys = df.select("doc", "k", "x", "y").mapInArrow(keyed, "h long, x long, y long")
+        keys = df.select("doc", "k", "x", "y").mapInArrow(lean(keyed), "h long, x long, y long")
         dealt = keys.repartition(max(4, (1 << bits) // 2), F.shiftrightunsigned("h", 64 - bits)).sortWithinPartitions(F.col("h").bitwiseXOR(F.lit(-(1 << 63))))
-        done = stored(dealt.mapInArrow(save, "bucket long, path string, n long"), label)
+        done = stored(dealt.mapInArrow(lean(save), "bucket long, path string, n long"), label)
         return cls(bits, {r.bucket: (r.path, r.n) for r in done.collect()})
 
     def find(self, key: np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -233,15 +258,25 @@ def _windows(wanted) -> callable:
                 rank = mix64(Hashed(data).names(start, start + LENGTH) + np.repeat(g.view(np.uint64), count) * _K + (np.repeat(place, count) - start).astype(np.uint64))
                 held.append((rank.view(np.int64), np.full(len(start), doc[i]), np.full(len(start), k[i], np.int32), start))
                 size += len(start)
-                if size > 200_000:
-                    yield _batch(["w", "doc", "k", "start"], *(np.concatenate(c) for c in zip(*held)))
+                if size > _TOGETHER:
+                    yield _ranked(held)
                     held, size = [], 0
             if held:
-                yield _batch(["w", "doc", "k", "start"], *(np.concatenate(c) for c in zip(*held)))
+                yield _ranked(held)
 
     return work
 
 
+def _ranked(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Ranked starts, of equal ranks all but the first marked as in _named."""
+    w, doc, k, start = (np.concatenate(c) for c in zip(*held))
+    order = np.lexsort((start, k, doc, w))
+    again = np.zeros(len(w), bool)
+    again[order[1:]] = w[order[1:]] == w[order[:-1]]
+    spread = mix64(doc.view(np.uint64) + start.view(np.uint64) * _K).view(np.int64)
+    return _batch(["w", "doc", "k", "start"], np.where(again, spread, w), doc, np.where(again, -1 - k, k).astype(np.int32), start)
+
+
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs that intervals cover."""
     if not len(starts):
@@ -281,11 +316,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = stored(own.where(f"size >= {LENGTH}").join(firsts, ["th", "th2", "size"]).where("doc <> m.doc OR k <> m.k").select("doc", "k", "size"), "copies")
     gone = copies.select("doc", "k")
     once = placed(rows.select("doc", "th", "text")).where(F.octet_length("text") >= LENGTH).join(F.broadcast(gone) if copies.count() <= MAX_BROADCAST else gone, ["doc", "k"], "left_anti").select("doc", "k", "text")
-    named = once.mapInArrow(_named, "g long, f long, doc long, k int, at long")
-    classes = stored(named.repartition("g").sortWithinPartitions("g", "f", "doc", "k", "at").mapInArrow(_classes, "g long, doc long, k int, at long, settled boolean"), "classes")
+    named = once.mapInArrow(lean(_named), "g long, f long, doc long, k int, at long")
+    classes = stored(named.repartition("g").sortWithinPartitions("g", "f", "doc", "k", "at").mapInArrow(lean(_classes), "g long, doc long, k int, at long, settled boolean"), "classes")
     wanted = Lists.write(classes.where("NOT settled").select("doc", "k", F.col("g").alias("x"), F.col("at").alias("y")), folder, "wanted")
-    windows = once.mapInArrow(_windows(spark.sparkContext.broadcast(wanted)), "w long, doc long, k int, start long")
-    later = windows.repartition("w").sortWithinPartitions("w", "doc", "k", "start").mapInArrow(_later, "doc long, k int, start long, end long")
+    windows = once.mapInArrow(lean(_windows(spark.sparkContext.broadcast(wanted))), "w long, doc long, k int, start long")
+    later = windows.repartition("w").sortWithinPartitions("w", "doc", "k", "start").mapInArrow(lean(_later), "doc long, k int, start long, end long")
     place = F.shiftright("at", 20)
     first, last = place - F.shiftright("at", 10).bitwiseAND(F.lit(1023)), place + F.col("at").bitwiseAND(F.lit(1023)) - 512 + LENGTH
     repeats = classes.where("settled").select("doc", "k", first.alias("x"), last.alias("y")).union(copies.select("doc", "k", F.lit(0).cast("bigint"), "size"))
@@ -310,4 +345,4 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(c)), *columns], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
     schema = T.StructType([*(df.schema[c] for c in names), *(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
-    return placed(rows).select("__id", *(f"__keep_{c}" for c in keep), "doc", "k", "text").mapInArrow(cut, schema)
+    return placed(rows).select("__id", *(f"__keep_{c}" for c in keep), "doc", "k", "text").mapInArrow(lean(cut), schema)
