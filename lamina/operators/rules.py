@@ -37,7 +37,7 @@ class Inputs:
     @cached_property
     def cardinality(self) -> DataFrame:
         found = self.distinct if self.distinct is not None else cardinality(self.chunks, self.sample_rows)
-        return found.withColumn("ratio", cardinality_ratio(F.col("distinct_count"), F.col("non_null_count")))
+        return found.withColumn("ratio", cardinality_ratio(F.col("distinct_count"), F.col("non_null_count"))).cache()  # a row for each column; two rules read it
 
 
 Rule = Callable[[Inputs], DataFrame]

@@ -273,13 +273,13 @@ def dictionary_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def diagnostics_all(spark: SparkSession, sf: str) -> DataFrame:
     """All findings in order, as text."""
-    return _named(L.shown(L.lint(spark, chunks=_chunks(spark, sf))))
+    return _named(L.shown(L.lint(spark, *_paths(sf))))
 
 
 @query()
 def severity_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Findings by severity, warnings and graver ones apart."""
-    return _named(L.lint(spark, chunks=_chunks(spark, sf)).groupBy("file", "severity").agg(F.count("*").alias("n")))
+    return _named(L.lint(spark, *_paths(sf)).groupBy("file", "severity").agg(F.count("*").alias("n")))
 
 
 # -- prescriptions and writers ----------------------------------------------------------------------------------------
@@ -311,7 +311,7 @@ def prescription_conflicts(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def lint_prescriptions(spark: SparkSession, sf: str) -> DataFrame:
     """The directives of all findings that hold, by table."""
-    return _named(L.last_wins(L.directives(L.lint(spark, chunks=_chunks(spark, sf)))))
+    return _named(L.last_wins(L.directives(L.lint(spark, *_paths(sf)))))
 
 
 @query(f"SELECT tbl, path, any_value(compression) AS codec, 'plain' AS encoding, true AS dictionary, 'chunk' AS statistics, false AS bloom_filter FROM {_META} GROUP BY tbl, path")
