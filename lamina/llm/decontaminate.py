@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from lamina.llm.native import paired
 
 #: Words of a window, windows in line that make an exact match (13 words), the share of an item's windows that a template match needs, and the
-#: slots that a template window may have.
-WIDTH, EXACT_WINDOWS, TEMPLATE_SHARE, MAX_SLOTS = 8, 6, 0.8, 4
+#: slots that a template window may have: all.
+WIDTH, EXACT_WINDOWS, TEMPLATE_SHARE, MAX_SLOTS = 8, 6, 0.8, 8
+#: Half of the windows of a template match must have so many tokens that are the same in item and document, words or slot values: slots alone match any others.
+SAME = 2
 
 #: Words that count as units.
 UNITS = (
@@ -58,27 +60,29 @@ def leaks(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", id
 
     Returns one row for each document and item: the columns named id_col and item_col, kind string (exact or template), n_windows long and share double (of
     the item's windows). Exact: EXACT_WINDOWS windows of WIDTH words (all of a shorter item's) match in line, in any case and punctuation. Template: at least
-    TEMPLATE_SHARE of the item's template windows match in line, and slot values correspond one to one. Null and empty texts and items of fewer
+    TEMPLATE_SHARE of the item's template windows match in line, slot values correspond one to one, and in half of these windows SAME tokens
+    are the same, so that rows of numbers or capitals aren't taken for each other. Null and empty texts and items of fewer
     than WIDTH words match nothing; repeated rows of an id count once; rows with a null id on either side are matched as one document or item; other columns don't matter.
 
     Documents aren't shuffled for the join while the benchmark has at most MAX_BROADCAST windows; only matches are grouped, by document, item and alignment."""
     items = windows(benchmark.select(F.col(item_col).alias("__item"), F.col(item_text_col).alias("__text")), "__text", ("__item",))
     items = items.select("__item", "__h", F.col("__template"), F.col("__at").alias("__item_at"), F.col("__n").alias("__item_n"), _slots(F.col("__t"), F.col("__at")).alias("__item_slots"))
-    items = items.where(~F.col("__template") | (F.size("__item_slots") <= MAX_SLOTS)).distinct()
+    items = items.distinct()
     small = items.count() <= MAX_BROADCAST
     texts = documents.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
     found = windows(texts, "__text", ("__doc",))
     joined = found.join(F.broadcast(items) if small else items, ["__h", "__template"])
     pairs = F.when(F.col("__template"), F.zip_with("__item_slots", _slots(F.col("__t"), F.col("__at")), lambda i, d: F.struct(i.alias("i"), d.alias("d"))))
     lined = joined.select("__doc", "__item", "__template", (F.col("__at") - F.col("__item_at")).alias("__shift"), "__item_at", "__item_n", pairs.alias("__pairs"))
+    same = WIDTH - F.size(F.filter("__pairs", lambda p: p["i"] != p["d"]))
     grouped = lined.groupBy("__doc", "__item", "__template", "__shift").agg(
-        F.size(F.collect_set("__item_at")).cast("long").alias("n"), F.max("__item_n").alias("__of"), F.array_distinct(F.flatten(F.collect_set("__pairs"))).alias("__pairs")
+        F.size(F.collect_set("__item_at")).cast("long").alias("n"), F.max("__item_n").alias("__of"), F.size(F.collect_set(F.when(same >= SAME, F.col("__item_at")))).alias("__telling"), F.array_distinct(F.flatten(F.collect_set("__pairs"))).alias("__pairs")
     )
     # One value of the item for each of the document, and the other way round.
     size = lambda f: F.size(F.array_distinct(F.transform("__pairs", f)))
     consistent = (size(lambda p: p["i"]) == F.size("__pairs")) & (size(lambda p: p["d"]) == F.size("__pairs"))
     exact = ~F.col("__template") & (F.col("n") >= F.least(F.col("__of"), F.lit(EXACT_WINDOWS)))
-    template = F.col("__template") & (F.col("n") >= TEMPLATE_SHARE * F.col("__of")) & F.coalesce(consistent, F.lit(True))
+    template = F.col("__template") & (F.col("n") >= TEMPLATE_SHARE * F.col("__of")) & (2 * F.col("__telling") >= F.col("n")) & F.coalesce(consistent, F.lit(True))
     good = grouped.where(exact | template).select("__doc", "__item", "__template", "n", (F.col("n") / F.col("__of")).alias("share"))
     best = good.groupBy("__doc", "__item").agg(F.max(F.struct((~F.col("__template")).alias("exact"), "n", "share")).alias("b"))
     return best.select(F.col("__doc").alias(id_col), F.col("__item").alias(item_col), F.when(F.col("b.exact"), "exact").otherwise("template").alias("kind"), F.col("b.n").alias("n_windows"), F.col("b.share").alias("share"))

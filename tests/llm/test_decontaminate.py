@@ -66,3 +66,16 @@ def test_no_python_and_no_document_shuffle(spark):
     b = spark.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string")
     plan = leaks(d, b)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_items_with_many_slots(spark):
+    race = "Tom runs 5 km in 20 minutes, Ann runs 7 km in 30 minutes. Who is faster?"
+    capitals = "HOW MANY APPLES DOES TOM HAVE IF ANN GIVES HIM 5 AND HE EATS 2 OF THEM BEFORE LUNCH"
+    digits = "1 2 3 4 5 6 7 8 9 10 11 12"
+    b = spark.createDataFrame([(1, race), (2, capitals), (3, digits)], "item_id long, text string")
+    copy = race.replace("Tom", "Bill").replace("Ann", "Sue").replace("5", "6").replace("20", "25").replace("7", "9").replace("30", "35")
+    docs = [(1, "so here it goes: " + copy), (2, capitals.replace("TOM", "BILL").replace("5", "8")), (3, "21 22 23 24 25 26 27 28 29 30 31 32"), (4, "THE RAIN FELL ON A SMALL TOWN WHILE OLD MEN 7 TIMES TOLD 4 BOYS SOME TALES ABOUT SHIPS")]
+    docs.append((5, copy.replace("Sue", "Bill")))  # one name for two
+    got = {(r.doc_id, r.item_id, r.kind) for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()}
+    assert {x for x in got if x[1] != 2 or x[0] != 2} == {(1, 1, "template")}
+    assert any(x[:2] == (2, 2) for x in got)
