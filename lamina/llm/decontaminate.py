@@ -2,7 +2,9 @@
 
 A template is a text in which each number, name and unit is replaced by a typed placeholder. A question whose numbers and names were
 changed keeps its template, so windows of the template are joined as windows of the plain words are. What stood in the slots must then
-correspond: one value of the item to one value of the document and back, over all windows that match on the same alignment.
+correspond: one value of the item to one value of the document and back, over all windows of an alignment. A second form of the template has
+one placeholder for a run of names and for a number with its unit. Alignments that lie near each other are added up, as a value or
+word more or less moves what comes after it.
 """
 
 from __future__ import annotations
@@ -10,13 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.native import paired
+from lamina.llm.native import covered, paired
 
-#: Words of a window, windows in line that make an exact match (13 words), the share of an item's windows that a template match needs, and the
+#: Words of a window, windows in line that make an exact match (13 words), the share of an item's tokens that windows of a template match must cover, and the
 #: slots that a template window may have: all.
 WIDTH, EXACT_WINDOWS, TEMPLATE_SHARE, MAX_SLOTS = 8, 6, 0.8, 8
 #: Half of the windows of a template match must have so many tokens that are the same in item and document, words or slot values: slots alone match any others.
 SAME = 2
+#: Tokens by which alignments may differ that are added up.
+DRIFT = 8
 
 #: Words that count as units.
 UNITS = (
@@ -28,7 +32,12 @@ UNITS = (
 #: Rows of benchmark windows that are broadcast; with more, the windows are joined by a shuffle. Matches aren't affected.
 MAX_BROADCAST = 2_000_000
 
-_TOKEN = r"\p{N}+(?:[.,]\p{N}+)*|\p{L}+"
+_NUMBER, _NAME = r"\p{N}+(?:[.,]\p{N}+)*", r"\p{L}*[\p{Lu}\p{Lt}]\p{L}*"
+_TOKEN = _NUMBER + r"|\p{L}+"
+#: A number with its unit or a run of names is one token. The run is possessive, which Java matches without recursion.
+_MERGED = rf"{_NUMBER}(?:[\s-]{{0,2}}(?i:{'|'.join(UNITS)})(?!\p{{L}}))?|{_NAME}(?:[\s-]{{1,2}}{_NAME})*+|\p{{L}}+"
+#: The forms of windows.
+WORDS, TEMPLATE, MERGED = 0, 1, 2
 
 
 def _template(token: Column) -> Column:
@@ -38,51 +47,88 @@ def _template(token: Column) -> Column:
 
 
 def windows(df: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
-    """The windows of every whole text: the columns of keep, __t (all tokens), __n (windows of a kind), and for each window __h, __at, __template."""
-    tokens = df.select(*keep, F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(_TOKEN), F.lit(0)).alias("__t"))
-    h = tokens.select(*keep, "__t", F.transform("__t", lambda x: F.xxhash64(F.lower(x))).alias("__a1"), F.transform("__t", lambda x: F.xxhash64(_template(x), F.lit(1))).alias("__b1"))
+    """The windows of every whole text: the columns of keep, __t and __m (all tokens, plain and merged), and for each window __h, __at, __form, __n (windows of that form)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    tokens = df.select(*keep, F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)).alias("__t"), F.regexp_extract_all(text, F.lit(_MERGED), F.lit(0)).alias("__m"))
+    hashes = lambda c, f, seed: F.transform(c, lambda x: F.xxhash64(f(x), F.lit(seed)))
+    h = tokens.select(*keep, "__t", "__m", F.transform("__t", lambda x: F.xxhash64(F.lower(x))).alias("__a1"), hashes("__t", _template, 1).alias("__b1"), hashes("__m", _template, 2).alias("__c1"))
     for k in (1, 2, 4):
-        h = h.select(*keep, "__t", paired(F.col(f"__a{k}"), k).alias(f"__a{2 * k}"), paired(F.col(f"__b{k}"), k).alias(f"__b{2 * k}"))
-    # An array of hashes for the words, then one for the templates; the place in it says which.
-    placed = h.select(*keep, "__t", F.size("__a8").alias("__n"), F.concat("__a8", "__b8").alias("__hs"))
+        h = h.select(*keep, "__t", "__m", *(paired(F.col(f"__{x}{k}"), k).alias(f"__{x}{2 * k}") for x in "abc"))
+    # An array of hashes for the words, then those for the templates; the place in it says which.
+    placed = h.select(*keep, "__t", "__m", F.size("__a8").alias("__k"), F.size("__c8").alias("__l"), F.concat("__a8", "__b8", "__c8").alias("__hs"))
     # The outer form, as for the other one Spark infers a filter that computes the arrays again from the text, nested in each other.
-    out = placed.select(*keep, "__t", "__n", F.posexplode_outer("__hs").alias("__i", "__h")).where("__h IS NOT NULL")
-    return out.select(*keep, "__t", "__n", "__h", (F.col("__i") % F.col("__n")).alias("__at"), (F.col("__i") >= F.col("__n")).alias("__template"))
+    out = placed.select(*keep, "__t", "__m", "__k", "__l", F.posexplode_outer("__hs").alias("__i", "__h")).where("__h IS NOT NULL")
+    i, k = F.col("__i"), F.col("__k")
+    form = F.when(i < k, WORDS).when(i < 2 * k, TEMPLATE).otherwise(MERGED)
+    at = F.when(i < k, i).when(i < 2 * k, i - k).otherwise(i - 2 * k)
+    return out.select(*keep, "__t", "__m", "__h", at.alias("__at"), form.alias("__form"), F.when(i < 2 * k, k).otherwise(F.col("__l")).alias("__n"))
 
 
 def _slots(tokens: Column, at: Column) -> Column:
-    """What stands in the slots of the window at a place, in lower case and order."""
-    return F.transform(F.filter(F.slice(tokens, at + 1, F.lit(WIDTH)), lambda x: _template(x) != x), lambda x: F.lower(x))
+    """What stands in the slots of the window at a place, in lower case and order, with nothing between merged tokens."""
+    return F.transform(F.filter(F.slice(tokens, at + 1, F.lit(WIDTH)), lambda x: _template(x) != x), lambda x: F.lower(F.regexp_replace(x, r"[\s-]+", "")))
+
+
+def _tokens() -> Column:
+    return F.when(F.col("__form") == MERGED, F.col("__m")).otherwise(F.col("__t"))
+
+
+def _consistent(pairs: Column) -> Column:
+    """Whether there is one value of the item for each of the document, and the other way round. Marked values (see leaks) need only end or begin with their own value, and with no other."""
+    edge = lambda p: p["i"].startswith("<") | p["i"].startswith(">")
+    size = lambda f: F.size(F.array_distinct(F.transform(F.filter(pairs, lambda p: ~edge(p)), f)))
+    n = F.size(F.filter(pairs, lambda p: ~edge(p)))
+    touches = lambda e, p: F.when(e["i"].startswith("<"), e["d"].endswith(p["d"])).otherwise(e["d"].startswith(p["d"]))
+    fits = F.forall(pairs, lambda e: ~edge(e) | F.forall(pairs, lambda p: edge(p) | ((p["i"] == F.translate(e["i"], "<>", "")) == touches(e, p))))
+    return (size(lambda p: p["i"]) == n) & (size(lambda p: p["d"]) == n) & fits
+
+
+def _added(shifts: Column) -> Column:
+    """Alignments, the largest first, added up as long as their slots correspond: the windows at, those of them that tell, pairs."""
+
+    def step(acc: Column, x: Column) -> Column:
+        union = lambda c: F.array_union(acc[c], x[c])
+        more = F.struct(union("at").alias("at"), union("telling").alias("telling"), union("pairs").alias("pairs"))
+        return F.when(_consistent(more["pairs"]), more).otherwise(acc)
+
+    none = F.array().cast("array<int>")
+    start = F.struct(none.alias("at"), none.alias("telling"), F.array().cast("array<struct<i:string,d:string>>").alias("pairs"))
+    return F.aggregate(shifts, start, step)
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The benchmark items that stand in each document, exactly or with other numbers, names and units.
 
     Returns one row for each document and item: the columns named id_col and item_col, kind string (exact or template), n_windows long and share double (of
-    the item's windows). Exact: EXACT_WINDOWS windows of WIDTH words (all of a shorter item's) match in line, in any case and punctuation. Template: at least
-    TEMPLATE_SHARE of the item's template windows match in line, slot values correspond one to one, and in half of these windows SAME tokens
-    are the same, so that rows of numbers or capitals aren't taken for each other. Null and empty texts and items of fewer
+    the item's windows). Exact: EXACT_WINDOWS windows of WIDTH words (all of a shorter item's) match in line, in any case and punctuation. Template: template
+    windows, of plain or of merged tokens, cover at least TEMPLATE_SHARE of the item's tokens on alignments up to DRIFT tokens apart, slot values correspond one to one, and in half of these
+    windows SAME tokens are the same, so that rows of numbers or capitals aren't taken for each other. Null and empty texts and items of fewer
     than WIDTH words match nothing; repeated rows of an id count once; rows with a null id on either side are matched as one document or item; other columns don't matter.
 
     Documents aren't shuffled for the join while the benchmark has at most MAX_BROADCAST windows; only matches are grouped, by document, item and alignment."""
     items = windows(benchmark.select(F.col(item_col).alias("__item"), F.col(item_text_col).alias("__text")), "__text", ("__item",))
-    items = items.select("__item", "__h", F.col("__template"), F.col("__at").alias("__item_at"), F.col("__n").alias("__item_n"), _slots(F.col("__t"), F.col("__at")).alias("__item_slots"))
-    items = items.distinct()
+    # A run of names at either end of the item may go on in the document, so it's marked.
+    ends = F.transform("__m", lambda x, i: F.when(_template(x) != "<name>", x).when(i == 0, F.concat(F.lit("<"), x)).when(i == F.size("__m") - 1, F.concat(F.lit(">"), x)).otherwise(x))
+    items = items.withColumn("__m", ends).select("__item", "__h", "__form", F.col("__at").alias("__item_at"), F.col("__n").alias("__item_n"), _slots(_tokens(), F.col("__at")).alias("__item_slots")).distinct()
     small = items.count() <= MAX_BROADCAST
     texts = documents.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
     found = windows(texts, "__text", ("__doc",))
-    joined = found.join(F.broadcast(items) if small else items, ["__h", "__template"])
-    pairs = F.when(F.col("__template"), F.zip_with("__item_slots", _slots(F.col("__t"), F.col("__at")), lambda i, d: F.struct(i.alias("i"), d.alias("d"))))
-    lined = joined.select("__doc", "__item", "__template", (F.col("__at") - F.col("__item_at")).alias("__shift"), "__item_at", "__item_n", pairs.alias("__pairs"))
-    same = WIDTH - F.size(F.filter("__pairs", lambda p: p["i"] != p["d"]))
-    grouped = lined.groupBy("__doc", "__item", "__template", "__shift").agg(
-        F.size(F.collect_set("__item_at")).cast("long").alias("n"), F.max("__item_n").alias("__of"), F.size(F.collect_set(F.when(same >= SAME, F.col("__item_at")))).alias("__telling"), F.array_distinct(F.flatten(F.collect_set("__pairs"))).alias("__pairs")
+    joined = found.join(F.broadcast(items) if small else items, ["__h", "__form"])
+    pairs = F.when(F.col("__form") != WORDS, F.zip_with("__item_slots", _slots(_tokens(), F.col("__at")), lambda i, d: F.struct(i.alias("i"), d.alias("d"))))
+    lined = joined.select("__doc", "__item", "__form", (F.col("__at") - F.col("__item_at")).alias("__shift"), "__item_at", "__item_n", pairs.alias("__pairs"))
+    same = WIDTH - F.size(F.filter("__pairs", lambda p: F.translate(p["i"], "<>", "") != p["d"]))
+    grouped = lined.groupBy("__doc", "__item", "__form", "__shift").agg(
+        F.collect_set("__item_at").alias("at"), F.max("__item_n").alias("__of"), F.collect_set(F.when(same >= SAME, F.col("__item_at"))).alias("telling"), F.array_distinct(F.flatten(F.collect_set("__pairs"))).alias("pairs")
+    )
+    # Alignments in bands that overlap by half, so that any two of up to DRIFT tokens apart share one; those of words stay alone. One that contradicts itself adds nothing to any.
+    words, band = F.col("__form") == WORDS, F.floor(F.col("__shift") / DRIFT)
+    exact = words & (F.size("at") >= F.least(F.col("__of"), F.lit(EXACT_WINDOWS)))
+    kept = grouped.where(exact | (~words & _consistent(F.col("pairs")))).select("*", F.explode(F.when(words, F.array(band)).otherwise(F.array(band, band + 1))).alias("__band"))
+    banded = kept.groupBy("__doc", "__item", "__form", "__band").agg(
+        F.max("__of").alias("__of"), F.max(F.size("at")).alias("most"), F.reverse(F.array_sort(F.collect_list(F.struct(F.size("at").alias("n"), F.col("__shift").alias("shift"), "at", "telling", "pairs")))).alias("shifts")
     )
-    # One value of the item for each of the document, and the other way round.
-    size = lambda f: F.size(F.array_distinct(F.transform("__pairs", f)))
-    consistent = (size(lambda p: p["i"]) == F.size("__pairs")) & (size(lambda p: p["d"]) == F.size("__pairs"))
-    exact = ~F.col("__template") & (F.col("n") >= F.least(F.col("__of"), F.lit(EXACT_WINDOWS)))
-    template = F.col("__template") & (F.col("n") >= TEMPLATE_SHARE * F.col("__of")) & (2 * F.col("__telling") >= F.col("n")) & F.coalesce(consistent, F.lit(True))
-    good = grouped.where(exact | template).select("__doc", "__item", "__template", "n", (F.col("n") / F.col("__of")).alias("share"))
-    best = good.groupBy("__doc", "__item").agg(F.max(F.struct((~F.col("__template")).alias("exact"), "n", "share")).alias("b"))
+    summed = banded.select("__doc", "__item", words.alias("exact"), "__of", "most", _added(F.col("shifts")).alias("a")).select("__doc", "__item", "exact", "__of", "most", F.array_sort("a.at").alias("at"), F.size("a.telling").alias("telling"))
+    enough = (covered(F.col("at"), WIDTH) >= TEMPLATE_SHARE * (F.col("__of") + WIDTH - 1)) & (2 * F.col("telling") >= F.size("at"))
+    good = summed.where(F.col("exact") | enough).withColumn("n", F.when(F.col("exact"), F.col("most")).otherwise(F.size("at")).cast("long")).withColumn("share", F.col("n") / F.col("__of"))
+    best = good.groupBy("__doc", "__item").agg(F.max(F.struct("exact", "n", "share")).alias("b"))
     return best.select(F.col("__doc").alias(id_col), F.col("__item").alias(item_col), F.when(F.col("b.exact"), "exact").otherwise("template").alias("kind"), F.col("b.n").alias("n_windows"), F.col("b.share").alias("share"))

@@ -79,3 +79,22 @@ def test_items_with_many_slots(spark):
     got = {(r.doc_id, r.item_id, r.kind) for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()}
     assert {x for x in got if x[1] != 2 or x[0] != 2} == {(1, 1, "template")}
     assert any(x[:2] == (2, 2) for x in got)
+
+
+def test_values_of_other_lengths(spark):
+    question = "Anna walks 12 km to the market and buys 3 apples for 5 dollars while Boris waits 2 hours before Anna returns home"
+    twice = "Anna has 3 apples and gives 2 of them to Boris today . Boris has 4 pears and gives 1 of them to Anna today ."
+    b = spark.createDataFrame([(1, question), (2, twice)], "item_id long, text string")
+    docs = [
+        (1, question.replace("Boris", "Mary Ann").replace("12 km", "30 miles")),
+        (2, "Question: " + question.replace("Anna", "Mary Ann").replace("3", "7") + " Then more"),
+        (3, "so " + question.replace("12", "twelve dozen").replace("Boris", "Carl")),
+        (4, question.replace("market", "shop").replace("Anna", "Eve")),
+        (5, question.replace("buys", "picks up").replace("Anna", "Eve").replace("5", "9")),
+        (6, question.replace("Anna walks", "Clara walks").replace("Boris", "David").replace("Anna returns", "David returns")),  # one name for two
+        (7, " ".join(question.split()[:12])),
+        (8, twice.replace("Anna", "Eve").replace("Boris", "Mary Ann").replace("4", "8")),
+    ]
+    got = {(r.doc_id, r.item_id): r.kind for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()}
+    assert {(i, j) for i, j in got if i < 6 or i == 8} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (8, 2)}
+    assert got[1, 1] == got[2, 1] == got[8, 2] == "template" and "template" not in (got.get((6, 1)), got.get((7, 1)))
