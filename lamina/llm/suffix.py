@@ -115,23 +115,33 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _settled(parts)
 
 
+def _once(*columns: np.ndarray, last: tuple | None = None) -> list[np.ndarray]:
+    """Sorted rows without those equal to the row before (to last, of the first one): rows that repeat id and text have the same positions, which are no repeats of each other."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = last is None or any(c[0] != x for c, x in zip(columns, last))
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return [c[new] for c in columns]
+
+
 def _settled(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     g, f, doc, k, at = (np.concatenate(c) for c in zip(*parts))
     order = np.lexsort((at, k, doc, f, g))
-    again = np.zeros(len(g), bool)
-    again[order[1:]] = (g[order[1:]] == g[order[:-1]]) & (f[order[1:]] == f[order[:-1]])
+    g, f, doc, k, at = _once(*(x[order] for x in (g, f, doc, k, at)))
+    again = np.concatenate([[False], (g[1:] == g[:-1]) & (f[1:] == f[:-1])])
     spread = mix64(doc.view(np.uint64) + at.view(np.uint64) * _K)
     return _batch(["g", "f", "doc", "k", "at"], np.where(again, spread, g), f, doc, np.where(again, -1 - k, k).astype(np.int32), at)
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by name, class and position: repeats (settled true), and the firsts of classes whose name has others (settled false). Between batches the last row and at most one first are kept."""
-    last, waiting, many = None, None, False
+    last, waiting, many = None, None, False  # last: a whole row
     for batch in batches:
         g, f, doc, k, at = (batch.column(i).to_numpy() for i in range(5))
         if (known := k < 0).any():
             yield _batch(["g", "doc", "k", "at", "settled"], np.zeros(known.sum(), np.int64), doc[known], (-1 - k[known]).astype(np.int32), at[known], np.full(known.sum(), True))
             g, f, doc, k, at = (x[~known] for x in (g, f, doc, k, at))
+        g, f, doc, k, at = _once(g, f, doc, k, at, last=last)
         if not len(g):
             continue
         new_g = np.concatenate([[last is None or last[0] != g[0]], g[1:] != g[:-1]])
@@ -153,7 +163,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting, many = (None, True) if ends > 1 else (rows[leads[-1]][None], False)
         out.append(rows[leads[mixed]])
         repeats, found = rows[~new_f], np.concatenate(out)
-        last = (g[-1], f[-1])
+        last = (g[-1], f[-1], doc[-1], k[-1], at[-1])
         for part, settled in ((repeats, True), (found, False)):
             if len(part):
                 yield _batch(["g", "doc", "k", "at", "settled"], np.zeros(len(part), np.int64) if settled else part[:, 0], part[:, 1], part[:, 2].astype(np.int32), part[:, 3], np.full(len(part), settled))
@@ -165,14 +175,15 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         w, doc, k, p = (batch.column(i).to_numpy() for i in range(4))
         known = k < 0
-        again, open_ = known.copy(), np.flatnonzero(~known)
-        if len(open_):
-            v = w[open_]
-            again[open_] = np.concatenate([[last is not None and last == v[0]], v[1:] == v[:-1]])
-            last = v[-1]
-        if again.any():
-            doc, k, p = doc[again], k[again], p[again]
-            yield _batch(["doc", "k", "start", "end"], doc, np.where(k < 0, -1 - k, k).astype(np.int32), p, p + LENGTH)
+        again = [(doc[known], -1 - k[known], p[known])]
+        w, doc, k, p = _once(*(x[~known] for x in (w, doc, k, p)), last=last)
+        if len(w):
+            same = np.concatenate([[last is not None and last[0] == w[0]], w[1:] == w[:-1]])
+            again.append((doc[same], k[same], p[same]))
+            last = (w[-1], doc[-1], k[-1], p[-1])
+        doc, k, p = (np.concatenate(x) for x in zip(*again))
+        if len(doc):
+            yield _batch(["doc", "k", "start", "end"], doc, k.astype(np.int32), p, p + LENGTH)
 
 
 def _keys(doc: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -271,8 +282,8 @@ def _ranked(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     """Ranked starts, of equal ranks all but the first marked as in _named."""
     w, doc, k, start = (np.concatenate(c) for c in zip(*held))
     order = np.lexsort((start, k, doc, w))
-    again = np.zeros(len(w), bool)
-    again[order[1:]] = w[order[1:]] == w[order[:-1]]
+    w, doc, k, start = _once(*(x[order] for x in (w, doc, k, start)))
+    again = np.concatenate([[False], w[1:] == w[:-1]])
     spread = mix64(doc.view(np.uint64) + start.view(np.uint64) * _K).view(np.int64)
     return _batch(["w", "doc", "k", "start"], np.where(again, spread, w), doc, np.where(again, -1 - k, k).astype(np.int32), start)
 

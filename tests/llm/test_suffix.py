@@ -89,3 +89,17 @@ def test_classes_over_batches():
 def test_merged():
     a, b = merged(np.array([5, 0, 3, 20]), np.array([9, 4, 5, 30]))
     assert a.tolist() == [0, 20] and b.tolist() == [9, 30]
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_equal_rows_keep_a_text_of_their_own(spark, parts):
+    rng = random.Random(8)
+    alone = " ".join(str(rng.randint(0, 10**6)) for _ in range(60))
+    shared = " ".join(str(rng.randint(0, 10**6)) for _ in range(40))
+    inner = f"{shared} between {shared}"
+    edge = f"{alone[:150]} edge {shared[:170]}"
+    rows = [(1, alone), (2, inner), (3, edge)]
+    df = spark.createDataFrame([r for r in rows for _ in range(3)], "doc_id long, text string").repartition(parts)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeat_digest(df).collect())
+    assert got == sorted((i, *x) for i, x in brute(rows).items() for _ in range(3))
+    assert [r[2] for r in got[:3]] == [0, 0, 0]
