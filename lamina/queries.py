@@ -161,7 +161,7 @@ def column_profiles(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def page_headers(spark: SparkSession, sf: str) -> DataFrame:
     """The pages of all columns."""
-    return _named(pages(footers(spark, f"{sf}/orders.parquet", f"{sf}/lineitem.parquet")))
+    return _named(pages(_chunks(spark, sf)))
 
 
 @query(f"SELECT tbl, path, CASE WHEN encodings LIKE '%DICTIONARY%' THEN 'DictionaryOnly' ELSE 'NoDictionary' END AS state, count(*)::BIGINT AS groups FROM {_META} GROUP BY ALL")

@@ -262,3 +262,9 @@ def test_stream(spark, sample, tmp_path):
     q = lint_stream(spark, os.path.dirname(path), str(tmp_path / "t"), str(tmp_path / "c"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "t")).count() == lint(spark, path).count()
+
+
+def test_page_headers_read_all_tables(spark):
+    from lamina.queries import TABLES, page_headers
+
+    assert {r.tbl for r in page_headers(spark, "/root/testdata/sf0.001").select("tbl").distinct().collect()} == set(TABLES)
