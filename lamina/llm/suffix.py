@@ -118,7 +118,9 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _once(*columns: np.ndarray, last: tuple | None = None) -> list[np.ndarray]:
     """Sorted rows without those equal to the row before (to last, of the first one): rows that repeat id and text have the same positions, which are no repeats of each other."""
     new = np.zeros(len(columns[0]), bool)
-    new[:1] = last is None or any(c[0] != x for c, x in zip(columns, last))
+    if not len(new):
+        return list(columns)
+    new[0] = last is None or any(c[0] != x for c, x in zip(columns, last))
     for c in columns:
         new[1:] |= c[1:] != c[:-1]
     return [c[new] for c in columns]

@@ -103,3 +103,10 @@ def test_equal_rows_keep_a_text_of_their_own(spark, parts):
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeat_digest(df).collect())
     assert got == sorted((i, *x) for i, x in brute(rows).items() for _ in range(3))
     assert [r[2] for r in got[:3]] == [0, 0, 0]
+
+
+def test_once_over_batches():
+    none, some = np.zeros(0, np.int64), np.array([1, 1, 2])
+    assert [len(c) for c in S._once(none, none, last=(1, 1))] == [0, 0]
+    assert [c.tolist() for c in S._once(some, some, last=(1, 1))] == [[2], [2]]
+    assert [c.tolist() for c in S._once(some, some)] == [[1, 2], [1, 2]]
