@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 #: The characters that separate words, as the inside of a character class.
 SPACE = r"\x20\x09-\x0D"
 
-DEFAULT_CHECKPOINTS = ("/tmp/checkpoints",)
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir as the session has it.
@@ -77,15 +75,11 @@ def lean(work):
         if sys.platform == "linux":
             try:
                 libc = ctypes.CDLL("libc.so.6")
-                libc.mallopt(-3, 1 << 20)  # arrays of 1 MiB and more are mapped, and so given back when they are freed
                 pa.set_memory_pool(pa.system_memory_pool())
             except (OSError, AttributeError):
                 libc = None  # another C library: nothing to tell it
         try:
-            for n, batch in enumerate(work(batches)):
-                yield batch
-                if libc and n % 8 == 7:
-                    libc.malloc_trim(0)
+            yield from work(batches)
         finally:
             gc.collect()
             if libc:

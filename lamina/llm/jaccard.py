@@ -33,8 +33,10 @@ MAX_BROADCAST, BLOCK = 1_000_000, 512
 _K = np.uint64(0x9E3779B97F4A7C15)
 _SINGLE = np.uint64(0xD6E8FEB86659FD93)
 _CHUNK = 2 << 20
-#: Signatures that go out at a time.
-_ROWS = 300_000
+#: Signatures that go out at a time, that a bucket has about, and that are held at most of one; pairs and words of parity bits compared at a time.
+_ROWS, _BUCKET, _HELD, _PAIRS, _WORDS = 600_000, 1 << 18, 4_000_000, 500_000, 1 << 20
+#: In the place of a bucket: sizes of sets.
+SIZES = -(1 << 62)
 
 
 def shingles(text) -> np.ndarray:
@@ -48,7 +50,7 @@ def _of_words(h: np.ndarray) -> np.ndarray:
         return h
     width = min(SHINGLE, len(h))
     n = len(h) - width + 1
-    g = np.full(n, np.uint64(width) * _K)
+    g = np.full(n, width, np.uint64) * _K
     for k in range(width):
         g = mix64(g * _K + h[k : k + n])
     return np.unique(g)
@@ -110,8 +112,8 @@ def signatures(h: np.ndarray) -> np.ndarray:
     n = len(h)
     if not n:
         return h
-    out, single = [], False
     content = np.concatenate([[np.uint64(0)], np.cumsum(mix64(h ^ _K))])
+    out, single = [mix64(content[-1:] + _SINGLE)], False  # equal sets share that of the whole
     top = h >> np.uint64(32)
     band = _band(n)
     for at in (band, band - 1):
@@ -134,7 +136,7 @@ def signatures(h: np.ndarray) -> np.ndarray:
         single |= int((pair_sizes == 0).any(1).sum()) > extra
     if single:
         out.append(mix64(h[: n - least_common_alone(n) + 1] ^ _SINGLE))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return np.concatenate(out)
 
 
 def least_common_alone(n: int) -> int:
@@ -155,64 +157,105 @@ def _fold(p: np.ndarray, words: int) -> np.ndarray:
     return p
 
 
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, a, b = [], [], []
-        for h in _sets(batch.column(2).to_pylist()):
-            n.append(len(h))
-            a.append(np.add.reduce(mix64(h ^ _K)) if len(h) else np.uint64(0))
-            b.append(np.add.reduce(mix64(h ^ _SINGLE)) if len(h) else np.uint64(0))
-        ab = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), *ab], ["doc", "th", "n", "sa", "sb"])
+class _Signed:
+    """Signatures of a task, dealt to buckets by their first bits and packed: a row has those of one bucket.
 
+    Nodes that share a signature within what goes out together are told here, and one of them alone is compared with those of other tasks, so that a signature that very many sets share
+    has a row for each batch and not one for each set."""
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows(sigs: list, nodes: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), list(map(len, sigs))))], ["sig", "node"])
+    def __init__(self, bits: int):
+        self.bits, self.sigs, self.nodes, self.n = bits, [], [], 0
 
-    for batch in batches:
-        sigs, nodes, n = [], [], 0
-        for node, h in zip(batch.column(0).to_pylist(), _sets(batch.column(1).to_pylist())):
-            sigs.append(signatures(h))
-            nodes.append(node)
-            n += len(sigs[-1])
-            if n > _ROWS:
-                yield rows(sigs, nodes)
-                sigs, nodes, n = [], [], 0
-        if n:
-            yield rows(sigs, nodes)
+    def add(self, node: int, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.sigs.append(signatures(h))
+        self.nodes.append(node)
+        self.n += len(self.sigs[-1])
+        if self.n > _ROWS:
+            yield from self.out()
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            sig, lead, shared = _led(np.concatenate(self.sigs), np.repeat(np.array(self.nodes, np.int64), list(map(len, self.sigs))))
+            bucket = (sig >> np.uint64(64 - self.bits)).astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            yield _packed(bucket[first], np.append(first, len(sig)), sig, lead)
+            # What is told already is spread evenly, by negative numbers.
+            if len(shared[0]):
+                cuts = np.append(np.arange(0, len(shared[0]), 100_000), len(shared[0]))
+                yield _packed(-1 - (shared[0][cuts[:-1]] >> np.uint64(64 - self.bits)).astype(np.int64), cuts, *shared)
+        self.sigs, self.nodes, self.n = [], [], 0
+
+
+def _packed(bucket: np.ndarray, cuts: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket with the stretches of the columns between its cuts as bytes; a third column that isn't there is empty."""
+    offsets = pa.array((8 * cuts).astype(np.int32))
+    packed = [pa.Array.from_buffers(pa.binary(), len(bucket), [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(c))]) for c in columns]
+    packed += [pa.array([b""] * len(bucket), pa.binary())] * (3 - len(columns))
+    return pa.RecordBatch.from_arrays([pa.array(bucket), *packed], ["bucket", "x", "y", "z"])
+
+
+def _led(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """The distinct signatures, sorted, the smallest node of each, and the rows (sig, node, smallest node) of those that several rows have."""
+    order = np.argsort(sig)
+    sig, node = sig[order], node[order]
+    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    lead, lengths = np.minimum.reduceat(node, first), np.diff(np.append(first, len(sig)))
+    several = np.repeat(lengths > 1, lengths)
+    return sig[first], lead, (sig[several], node[several], np.repeat(lead, lengths)[several])
+
+
+def _signed(bits: int):
+    """For mapInArrow, of rows (node, th, th2, text): packed signatures, and the sizes of the sets (SIZES in the place of a bucket) by the hashes of the texts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signed = _Signed(bits)
+        for batch in batches:
+            sizes = []
+            for node, h in zip(batch.column(0).to_pylist(), _sets(batch.column(3).to_pylist())):
+                sizes.append(len(h))
+                if node is not None:
+                    yield from signed.add(node, h)
+            if sizes:
+                yield _packed(np.array([SIZES]), np.array([0, len(sizes)]), batch.column(1).to_numpy(), batch.column(2).to_numpy(), np.array(sizes, np.int64))
+        yield from signed.out()
+
+    return work
+
+
+def _rows(kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(columns[0]), 100_000):
+        part = [pa.array(c[at : at + 100_000].view(np.int64)) for c in columns]
+        yield pa.RecordBatch.from_arrays([*part, pa.array(np.full(len(part[0]), kind, np.int32))], ["sig", "node", "lead", "kind"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (sig, node) sorted by both, those whose sig another node has too, with the first of its nodes. Only the last row is kept between batches."""
-    last: tuple | None = None  # sig, its first node, the last node, whether its first row is out
+    """Of packed rows sorted by bucket those whose signature another node has too, with the smallest of its nodes: (sig, node, lead, 0); and the sizes (th, th2, n, 1).
+
+    A bucket is held at a time. Where one outgrows _HELD, what is told goes out and a row for each signature stays; a signature then may have several leads."""
+    parts, held, now = [], 0, None
+
+    def told() -> Iterator[pa.RecordBatch]:
+        nonlocal parts, held
+        if parts:
+            sig, lead, shared = _led(*(np.concatenate(c) for c in zip(*parts)))
+            parts, held = [(sig, lead)], len(sig)
+            yield from _rows(0, *shared)
+
     for batch in batches:
-        sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(sig):
-            continue
-        first = np.concatenate([[True], sig[1:] != sig[:-1]])
-        started = last is not None and last[0] == sig[0]
-        first[0] = not started
-        starts = np.flatnonzero(first)
-        lead = np.empty(len(sig), np.int64)
-        if started:
-            lead[: starts[0] if len(starts) else len(sig)] = last[1]
-        if len(starts):
-            lengths = np.diff(np.append(starts, len(sig)))
-            lead[starts[0] :] = np.repeat(node[starts], lengths)
-        other = node != lead
-        fresh = other & np.concatenate([[not (started and last[2] == node[0])], (node[1:] != node[:-1]) | first[1:]])
-        # The first row of a sig goes out before its second node.
-        keep_sig, keep_node, keep_lead = sig[fresh], node[fresh], lead[fresh]
-        opened = np.concatenate([[True], keep_sig[1:] != keep_sig[:-1]]) if len(keep_sig) else np.zeros(0, bool)
-        if len(opened) and started and last[3] and keep_sig[0] == last[0]:
-            opened[0] = False
-        out_sig, out_lead = np.concatenate([keep_sig, keep_sig[opened]]), np.concatenate([keep_lead, keep_lead[opened]])
-        out_node = np.concatenate([keep_node, keep_lead[opened]])
-        said = bool(len(keep_sig) and keep_sig[-1] == sig[-1]) or (started and last[3] and last[0] == sig[-1])
-        last = (sig[-1], lead[-1], node[-1], said)
-        if len(out_sig):
-            yield pa.RecordBatch.from_arrays([pa.array(out_sig), pa.array(out_node), pa.array(out_lead)], ["sig", "node", "lead"])
+        x, y, z = (batch.column(i) for i in (1, 2, 3))
+        for i, bucket in enumerate(batch.column(0).to_pylist()):
+            a, b, c = (np.frombuffer(v[i].as_buffer(), t) for v, t in ((x, np.uint64), (y, np.int64), (z, np.int64)))
+            if bucket < 0:
+                yield from _rows(int(bucket == SIZES), a, b, c)
+                continue
+            if bucket != now:
+                yield from told()
+                parts, held, now = [], 0, bucket
+            parts.append((a.copy(), b.copy()))
+            held += len(a)
+            if held > _HELD and len(parts) > 1:
+                yield from told()
+    yield from told()
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,50 +271,84 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [h.tobytes() for h in _sets(batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
+
+
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = list(_sets(batch.column(1).to_pylist()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h in sets], pa.binary()), pa.array([parity(h).tobytes() for h in sets], pa.binary())], ["node", "hashes", "parity"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array([parity(h).tobytes() for h in sets], pa.binary())], ["node", "n", "parity"])
 
 
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, node, component, side, size, parity) sorted by key the pairs of different components that may link by size and parity."""
+def _pairs(sizes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places (i, j), i < j, of all pairs within groups of rows, some _PAIRS at a time."""
+    later = np.repeat(starts + sizes, sizes) - 1 - np.arange(sizes.sum()) - np.repeat(starts - np.cumsum(sizes) + sizes, sizes)  # rows after each in its group
+    rows = np.arange(len(later)) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+    upto = np.cumsum(later)
+    at = 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _PAIRS, side="right")))
+        n = later[at:to]
+        i = np.repeat(rows[at:to], n)
+        yield i, i + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = to
 
-    def compare(rows: list[tuple]) -> tuple[list[int], list[int]]:
-        a, b = [], []
-        node, comp, side, size = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3, 4))
-        bits = [np.frombuffer(r[5], np.uint64) for r in rows]
-        words = np.array([len(x) for x in bits])
-        stacks = {w: (np.flatnonzero(words == w), np.stack([x for x in bits if len(x) == w])) for w in set(words.tolist())}
-        two_sided = len(set(side.tolist())) > 1
-        for i in range(len(rows)):
-            for w, (at, stack) in stacks.items():
-                good = (at > i) & (comp[at] != comp[i]) & (5 * np.minimum(size[at], size[i]) >= 4 * np.maximum(size[at], size[i]))
-                if two_sided:
-                    good &= side[at] != side[i]
-                if not good.any():
-                    continue
-                least = min(w, len(bits[i]))
-                apart = np.bitwise_count(_fold(stack[good], least) ^ _fold(bits[i], least)).sum(1, dtype=np.int64)
-                total = size[at[good]] + size[i]
-                near = at[good][apart <= total - 2 * least_common(total)]
-                a += [int(node[i])] * len(near)
-                b += node[near].tolist()
-        return a, b
-
-    group: list[tuple] = []
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, node, component, side, size, parity) sorted by key the pairs of different components that may link by size and parity.
+
+    Groups are compared together, those of a batch at a time; a group that goes on into the next batch waits for its end. A group has two blocks at most."""
+
+    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, node, comp, side, size = (table.column(i).to_numpy() for i in range(5))
+        parities = pa.concat_arrays(table.column(5).chunks)
+        ends = np.frombuffer(parities.buffers()[1], np.int32)[parities.offset : parities.offset + len(parities) + 1].astype(np.int64) // 8
+        bits, words = np.frombuffer(parities.buffers()[2], np.uint64), np.diff(ends)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(first, len(key)))
+        two = np.minimum.reduceat(side, first) != np.maximum.reduceat(side, first)
+        crossed = np.repeat(two, sizes)  # whether only rows of different sides are compared
+        names, local = np.unique(node, return_inverse=True)
+        several = sizes > 1
+        for i, j in _pairs(sizes[several], first[several]) if several.any() else ():
+            good = (comp[i] != comp[j]) & (5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j])) & (~crossed[i] | (side[i] != side[j]))
+            i, j = i[good], j[good]
+            # The same two nodes under several keys are compared once.
+            lo, hi = np.minimum(local[i], local[j]), np.maximum(local[i], local[j])
+            _, once = np.unique(lo * len(names) + hi, return_index=True)
+            i, j = i[once], j[once]
+            swap = words[i] > words[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            total = size[i] + size[j]
+            most = total - 2 * least_common(total)
+            near = np.zeros(len(i), bool)
+            for w, v in np.unique(np.stack([words[i], words[j]], 1), axis=0).tolist() if len(i) else ():
+                at = np.flatnonzero((words[i] == w) & (words[j] == v))
+                step = max(1, _WORDS // v)
+                for k in range(0, len(at), step):
+                    some = at[k : k + step]
+                    apart = bits[ends[i[some]][:, None] + np.arange(w)] ^ _fold(bits[ends[j[some]][:, None] + np.arange(v)], w)
+                    near[some] = np.bitwise_count(apart).sum(1, dtype=np.int64) <= most[some]
+            if near.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[i[near]], node[j[near]])), pa.array(np.minimum(node[i[near]], node[j[near]]))], ["a", "b"])
+
+    waiting: list[pa.RecordBatch] = []
     for batch in batches:
-        a, b = [], []
-        for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            if group and group[0][0] != row[0]:
-                for out, found in zip((a, b), compare(group) if len(group) > 1 else ((), ())):
-                    out += found
-                group = []
-            group.append(row)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-    if len(group) > 1:
-        a, b = compare(group)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        # Up to the last group, which may go on; what waits is of one group.
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut == 0 and waiting and waiting[0].column(0)[0].as_py() == key[0]:
+            waiting.append(batch)
+            continue
+        if cut or waiting:
+            yield from compare(pa.Table.from_batches([*waiting, batch.slice(0, cut)]))
+        waiting = [batch.slice(cut)]
+    if waiting:
+        yield from compare(pa.Table.from_batches(waiting))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -286,21 +363,30 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     included). A null or empty text, or one without words, has an empty set and links with nothing. Repeated rows each give a row. An id with several texts
     is linked by each of them. Rows with a null id have a null component_id and link nothing. Other columns of df don't matter; id_col is read as bigint.
 
-    Rows with equal sets are one node. Nodes go by their signatures: first each is compared with the smallest node that shares most of its signatures, which joins
+    Rows with equal texts are one node. Nodes go by their signatures: first each is compared with the smallest node that shares most of its signatures, which joins
     groups of copies without their pairs; then nodes that share a signature and aren't joined yet are compared in blocks, by size and parity bits, then exactly."""
     texts = df.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    keyed = texts.select("doc", F.xxhash64("text").alias("th"), "text")
-    profile = stored(keyed.mapInArrow(lean(_profile), "doc long, th long, n long, sa long, sb long"), "profile")
-    nodes = stored(profile.where("n > 0 AND doc IS NOT NULL").groupBy("sa", "sb", "n").agg(F.min(F.struct("doc", "th")).alias("m")).select("sa", "sb", "n", F.col("m.doc").alias("node"), F.col("m.th").alias("th")), "nodes")
-    copies = profile.where("doc IS NOT NULL").join(nodes.select(F.col("node").alias("doc"), "th"), ["doc", "th"], "left_anti").select("doc", "th").distinct()
-    kept = keyed.where("doc IS NOT NULL").join(_small(copies), ["doc", "th"], "left_anti")
-    signed = kept.select(F.col("doc").alias("node"), "text").mapInArrow(lean(_signed), "sig long, node long")
-    shared = stored(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(lean(_shared), "sig long, node long, lead long"), "shared")
+    keyed = texts.select("doc", F.xxhash64("text").alias("th"), F.xxhash64("text", F.lit(1)).alias("th2"), "text")
+    own = stored(keyed.select("doc", "th", "th2", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size")), "own")
+    nodes = stored(own.groupBy("th", "th2").agg(F.min("doc").alias("node"), F.sum("size").alias("all"), F.max("size").alias("size")), "nodes")
+    words = (nodes.agg(F.sum("size")).first()[0] or 0) // 5  # about as many as there are signatures
+    bits = max(3, (words // _BUCKET).bit_length())
+    # All rows but one of each text; those without an id only if their text stands nowhere else.
+    copies = own.join(nodes, ["th", "th2"]).where("NOT doc <=> node").select("doc", "th", "th2").distinct()
+    copies = stored(copies, "copies")
+    kept = keyed.join(_small(copies), keyed["doc"].eqNullSafe(copies["doc"]) & (keyed["th"] == copies["th"]) & (keyed["th2"] == copies["th2"]), "left_anti")
+    signed = kept.mapInArrow(lean(_signed(bits)), "bucket long, x binary, y binary, z binary")
+    found = stored(signed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_shared), "sig long, node long, lead long, kind int"), "shared")
+    shared = found.where("kind = 0")
+    sizes = found.where("kind = 1").select(F.col("sig").alias("th"), F.col("node").alias("th2"), F.col("lead").alias("n")).distinct()
+
+    def of_nodes(ids: DataFrame) -> DataFrame:
+        wanted = _small(nodes.join(ids, "node", "left_semi").select("node", "th", "th2"))
+        return keyed.join(wanted, (keyed["doc"] == wanted["node"]) & (keyed["th"] == wanted["th"]) & (keyed["th2"] == wanted["th2"])).select("node", "text")
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = nodes.join(ids, "node", "left_semi").select("node", "th")
-        sets = stored(keyed.join(_small(wanted), (F.col("doc") == F.col("node")) & (keyed["th"] == wanted["th"])).select("node", "text").mapInArrow(lean(_with_sets), "node long, hashes binary, parity binary"), "sets")
+        sets = stored(of_nodes(ids).mapInArrow(lean(_with_sets), "node long, hashes binary"), "sets")
         one, two = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
         return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(lean(_linked), "a long, b long"), "links")
 
@@ -308,25 +394,21 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     often = shared.where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("c"))
     best = often.groupBy("node").agg(F.max(F.struct("c", (-F.col("lead")).alias("m"))).alias("x")).select(F.col("node").alias("a"), (-F.col("x.m")).alias("b"))
     links = verified(stored(best, "best"))
-    found = components(links)
+    # An id with several texts, of which some are another node's.
+    several = own.where("doc IS NOT NULL").groupBy("doc").agg(F.count("*").alias("c")).where("c > 1").select("doc")
+    links = links.union(copies.where("doc IS NOT NULL").join(several, "doc", "left_semi").join(nodes, ["th", "th2"]).select(F.col("doc").alias("a"), F.col("node").alias("b")))
+    joined = components(links)
     # Nodes that share a signature and lie in different classes so far.
-    classed = shared.select("sig", "node").join(found, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+    classed = shared.select("sig", "node").join(joined, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
     mixed = classed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("sig", "c")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     rows = classed.join(mixed, "sig").select("sig", "node", "component", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("side"), blocks.alias("blocks"))
     rows = rows.select("sig", "node", "component", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = stored(rows.select(F.xxhash64("sig", F.least("side", "other"), F.greatest("side", "other")).alias("key"), "node", "component", "side").distinct(), "mixed")
-    wanted = nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "th", "n")
-    bits = keyed.join(_small(wanted), (F.col("doc") == F.col("node")) & (keyed["th"] == wanted["th"])).select("node", "n", "text")
-    bits = stored(bits.mapInArrow(lean(_parities), "node long, n long, parity binary"), "parity")
-    near = rows.join(bits, "node").select("key", "node", "component", "side", "n", "parity").repartition("key").sortWithinPartitions("key", "node").mapInArrow(lean(_close), "a long, b long")
-    more = verified(stored(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near"))
-    final = components(links.union(more))
-    placed = profile.join(nodes.select("sa", "sb", "n", "node"), ["sa", "sb", "n"], "left").join(final, "node", "left")
-    component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "node", "doc"))
-    return placed.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
-
-
-def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([parity(h).tobytes() for h in _sets(batch.column(2).to_pylist())], pa.binary())], ["node", "n", "parity"])
+    parities = stored(of_nodes(rows.select("node").distinct()).mapInArrow(lean(_parities), "node long, n long, parity binary"), "parity")
+    near = rows.join(parities, "node").select("key", "node", "component", "side", "n", "parity").repartition("key").sortWithinPartitions("key", "node").mapInArrow(lean(_close), "a long, b long")
+    more = verified(stored(near.distinct(), "near"))
+    classes = components(links.union(more))
+    known = nodes.select("th", "th2", "node").join(sizes, ["th", "th2"]).join(classes, "node", "left").select("th", "th2", "n", F.coalesce("component", "node").alias("component"))
+    component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))
+    return own.select("doc", "th", "th2").join(known, ["th", "th2"]).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -82,16 +82,55 @@ def test_signatures_miss_no_similar_pair():
             assert np.bitwise_count(J._fold(J.parity(a), min(len(J.parity(a)), len(J.parity(b)))) ^ J._fold(J.parity(b), min(len(J.parity(a)), len(J.parity(b))))).sum() <= n + y - 2 * common
 
 
-def test_shared_rows_over_batches():
+@pytest.mark.parametrize("held", [4_000_000, 5])
+def test_shared_rows(monkeypatch, held):
     import pyarrow as pa
 
+    monkeypatch.setattr(J, "_HELD", held)
     rng = random.Random(0)
-    rows = sorted((rng.randint(0, 60), rng.randint(0, 9)) for _ in range(150))
-    want = {(s, n, min(x for t, x in rows if t == s)) for s, n in rows if len({x for t, x in rows if t == s}) > 1}
-    for size in (1, 2, 7, 150):
-        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i : i + size]]), pa.array([r[1] for r in rows[i : i + size]])], ["sig", "node"]) for i in range(0, len(rows), size)]
-        got = [tuple(x) for b in J._shared(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns))]
-        assert sorted(got) == sorted(want)
+    sets = {n: {rng.randint(0, 200) for _ in range(30)} for n in range(40)}
+    spread = lambda s: (s * 0x9E3779B97F4A7C15) % 2**64
+    monkeypatch.setattr(J, "signatures", lambda h: h)
+    packed = []
+    for part in range(4):
+        signed = J._Signed(3)
+        for n in range(part, 40, 4):
+            packed += signed.add(n, np.array([spread(s) for s in sets[n]], np.uint64))
+        packed += signed.out()
+    table = pa.Table.from_batches(packed).sort_by("bucket")
+    got = [tuple(x) for b in J._shared(iter(table.to_batches(max_chunksize=3))) for x in zip(*(c.to_pylist() for c in b.columns))]
+    holders = {}
+    for n, s in sets.items():
+        for x in s:
+            holders.setdefault(int(np.array(spread(x), np.uint64).view(np.int64)), set()).add(n)
+    want = {(s, n) for s, ns in holders.items() if len(ns) > 1 for n in ns}
+    assert {x[:2] for x in got} == want and all(x[3] == 0 for x in got)
+    # The leads of a signature make one tree of its nodes.
+    for s, ns in holders.items():
+        if len(ns) > 1:
+            assert len(set(union_find(ns, [x[1:3] for x in got if x[0] == s]).values())) == 1
+
+
+def test_groups_over_batches():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = [np.unique(np.array([rng.getrandbits(64) for _ in range(60)], np.uint64)) for _ in range(4)]
+    sets = [np.unique(np.concatenate([texts[i % 4][rng.randint(0, 8) :], np.array([rng.getrandbits(64) for _ in range(rng.randint(0, 9))], np.uint64)])) for i in range(40)]
+    rows = sorted((rng.randint(0, 12), n, rng.randint(0, 3), rng.randint(0, 1)) for n in range(40) for _ in range(3))
+    want = set()
+    for key, a, ca, sa in rows:
+        for other, b, cb, sb in rows:
+            sides = {s for k, _, _, s in rows if k == key}
+            if key == other and a > b and ca != cb and (len(sides) == 1 or sa != sb) and len(np.intersect1d(sets[a], sets[b])) >= J.least_common(len(sets[a]) + len(sets[b])):
+                want.add((a, b))
+    columns = [*(pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1, 2)), pa.array([r[3] for r in rows], pa.int32()), pa.array([len(sets[r[1]]) for r in rows], pa.int64()), pa.array([J.parity(sets[r[1]]).tobytes() for r in rows], pa.binary())]
+    table = pa.Table.from_arrays(columns, ["key", "node", "component", "side", "n", "parity"])
+    for size in (1, 2, 7, 200):
+        got = {x for b in J._close(iter(table.to_batches(max_chunksize=size))) for x in zip(*(c.to_pylist() for c in b.columns))}
+        assert want <= got and want
+        for a, b in got - want:
+            assert 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b]))
 
 
 def test_repeated_rows_and_null_ids(spark):
@@ -99,6 +138,9 @@ def test_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df).collect()), key=str)
     assert got == sorted([(5, 2, 5), (5, 2, 5), (None, 2, None), (7, 2, 5), (3, 1, 3), (3, 3, 3)], key=str)
+    rows = [(1, "q r s"), (4, "q r s"), (4, "x y z"), (6, "x y z"), (None, "u v"), (None, "u v")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, 1, 1), (4, 1, 1), (4, 1, 1), (6, 1, 1), (None, 1, None), (None, 1, None)], key=str)
     assert jaccard_components(df.limit(0)).count() == 0
 
 
