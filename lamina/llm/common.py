@@ -75,6 +75,7 @@ def lean(work):
         if sys.platform == "linux":
             try:
                 libc = ctypes.CDLL("libc.so.6")
+                libc.mallopt(-3, 16 << 20)  # larger arrays are mapped, and so given back when they are freed
                 pa.set_memory_pool(pa.system_memory_pool())
             except (OSError, AttributeError):
                 libc = None  # another C library: nothing to tell it

@@ -34,7 +34,9 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 _SINGLE = np.uint64(0xD6E8FEB86659FD93)
 _CHUNK = 2 << 20
 #: Signatures that go out at a time, that a bucket has about, and that are held at most of one; pairs and words of parity bits compared at a time.
-_ROWS, _BUCKET, _HELD, _PAIRS, _WORDS = 600_000, 1 << 18, 4_000_000, 500_000, 1 << 20
+_ROWS, _BUCKET, _HELD, _PAIRS, _WORDS = 300_000, 1 << 16, 4_000_000, 200_000, 1 << 18
+#: Nodes that share a signature from which a task tells it for itself.
+_MANY = 16
 #: In the place of a bucket: sizes of sets.
 SIZES = -(1 << 62)
 
@@ -160,8 +162,8 @@ def _fold(p: np.ndarray, words: int) -> np.ndarray:
 class _Signed:
     """Signatures of a task, dealt to buckets by their first bits and packed: a row has those of one bucket.
 
-    Nodes that share a signature within what goes out together are told here, and one of them alone is compared with those of other tasks, so that a signature that very many sets share
-    has a row for each batch and not one for each set."""
+    Of _MANY nodes that share a signature within what goes out together it's told here, and one of them alone is compared with those of other tasks, so that a signature that very many sets share
+    has few rows for each batch and not one for each set."""
 
     def __init__(self, bits: int):
         self.bits, self.sigs, self.nodes, self.n = bits, [], [], 0
@@ -175,7 +177,7 @@ class _Signed:
 
     def out(self) -> Iterator[pa.RecordBatch]:
         if self.n:
-            sig, lead, shared = _led(np.concatenate(self.sigs), np.repeat(np.array(self.nodes, np.int64), list(map(len, self.sigs))))
+            sig, lead, shared = _led(np.concatenate(self.sigs), np.repeat(np.array(self.nodes, np.int64), list(map(len, self.sigs))), _MANY)
             bucket = (sig >> np.uint64(64 - self.bits)).astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             yield _packed(bucket[first], np.append(first, len(sig)), sig, lead)
@@ -194,14 +196,16 @@ def _packed(bucket: np.ndarray, cuts: np.ndarray, *columns: np.ndarray) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(bucket), *packed], ["bucket", "x", "y", "z"])
 
 
-def _led(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
-    """The distinct signatures, sorted, the smallest node of each, and the rows (sig, node, smallest node) of those that several rows have."""
+def _led(sig: np.ndarray, node: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Rows sorted by signature, of those of many nodes or more the one of the smallest alone, and all rows (sig, node, smallest node) of these."""
     order = np.argsort(sig)
     sig, node = sig[order], node[order]
     first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-    lead, lengths = np.minimum.reduceat(node, first), np.diff(np.append(first, len(sig)))
-    several = np.repeat(lengths > 1, lengths)
-    return sig[first], lead, (sig[several], node[several], np.repeat(lead, lengths)[several])
+    lengths = np.diff(np.append(first, len(sig)))
+    lead, told = np.repeat(np.minimum.reduceat(node, first), lengths), np.repeat(lengths >= many, lengths)
+    stay = ~told
+    stay[first] = True
+    return sig[stay], np.where(told, lead, node)[stay], (sig[told], node[told], lead[told])
 
 
 def _signed(bits: int):
@@ -237,7 +241,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def told() -> Iterator[pa.RecordBatch]:
         nonlocal parts, held
         if parts:
-            sig, lead, shared = _led(*(np.concatenate(c) for c in zip(*parts)))
+            sig, lead, shared = _led(*(np.concatenate(c) for c in zip(*parts)), 2)
             parts, held = [(sig, lead)], len(sig)
             yield from _rows(0, *shared)
 
@@ -368,12 +372,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = df.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
     keyed = texts.select("doc", F.xxhash64("text").alias("th"), F.xxhash64("text", F.lit(1)).alias("th2"), "text")
     own = stored(keyed.select("doc", "th", "th2", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size")), "own")
-    nodes = stored(own.groupBy("th", "th2").agg(F.min("doc").alias("node"), F.sum("size").alias("all"), F.max("size").alias("size")), "nodes")
+    nodes = stored(own.groupBy("th", "th2").agg(F.min("doc").alias("node"), F.max("size").alias("size"), F.count("*").alias("times")), "nodes")
     words = (nodes.agg(F.sum("size")).first()[0] or 0) // 5  # about as many as there are signatures
     bits = max(3, (words // _BUCKET).bit_length())
     # All rows but one of each text; those without an id only if their text stands nowhere else.
-    copies = own.join(nodes, ["th", "th2"]).where("NOT doc <=> node").select("doc", "th", "th2").distinct()
-    copies = stored(copies, "copies")
+    repeated = nodes.where("times > 1").select("th", "th2", "node")
+    copies = stored(own.join(_small(repeated), ["th", "th2"]).where("NOT doc <=> node").select("doc", "th", "th2").distinct(), "copies")
     kept = keyed.join(_small(copies), keyed["doc"].eqNullSafe(copies["doc"]) & (keyed["th"] == copies["th"]) & (keyed["th2"] == copies["th2"]), "left_anti")
     signed = kept.mapInArrow(lean(_signed(bits)), "bucket long, x binary, y binary, z binary")
     found = stored(signed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_shared), "sig long, node long, lead long, kind int"), "shared")
@@ -390,17 +394,27 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         one, two = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
         return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(lean(_linked), "a long, b long"), "links")
 
-    # Each node with the lead of most of its signatures.
-    often = shared.where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("c"))
-    best = often.groupBy("node").agg(F.max(F.struct("c", (-F.col("lead")).alias("m"))).alias("x")).select(F.col("node").alias("a"), (-F.col("x.m")).alias("b"))
-    links = verified(stored(best, "best"))
+    def nearest(pairs: DataFrame) -> DataFrame:
+        """Of rows (node, lead), one for each signature, the links of nodes with the lead of most of them."""
+        often = pairs.groupBy("node", "lead").agg(F.count("*").alias("c"))
+        best = often.groupBy("node").agg(F.max(F.struct("c", (-F.col("lead")).alias("m"))).alias("x")).select(F.col("node").alias("a"), (-F.col("x.m")).alias("b"))
+        return verified(stored(best, "best"))
+
+    links = nearest(shared.where("node <> lead").select("node", "lead"))
     # An id with several texts, of which some are another node's.
     several = own.where("doc IS NOT NULL").groupBy("doc").agg(F.count("*").alias("c")).where("c > 1").select("doc")
     links = links.union(copies.where("doc IS NOT NULL").join(several, "doc", "left_semi").join(nodes, ["th", "th2"]).select(F.col("doc").alias("a"), F.col("node").alias("b")))
-    joined = components(links)
-    # Nodes that share a signature and lie in different classes so far.
-    classed = shared.select("sig", "node").join(joined, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-    mixed = classed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("sig", "c")
+
+    def mixed_rows(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The shared rows with the classes so far, and the signatures that several classes share."""
+        classed = shared.select("sig", "node").join(joined, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+        return classed, classed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("sig", "lo", "c")
+
+    # Then with the smallest node of the classes that share most of them.
+    classed, mixed = mixed_rows(components(links))
+    links = links.union(nearest(classed.join(mixed, "sig").where("component <> lo").select("node", F.col("lo").alias("lead"))))
+    # Nodes that share a signature and lie in different classes even so.
+    classed, mixed = mixed_rows(components(links))
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     rows = classed.join(mixed, "sig").select("sig", "node", "component", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("side"), blocks.alias("blocks"))
     rows = rows.select("sig", "node", "component", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -409,6 +423,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     near = rows.join(parities, "node").select("key", "node", "component", "side", "n", "parity").repartition("key").sortWithinPartitions("key", "node").mapInArrow(lean(_close), "a long, b long")
     more = verified(stored(near.distinct(), "near"))
     classes = components(links.union(more))
-    known = nodes.select("th", "th2", "node").join(sizes, ["th", "th2"]).join(classes, "node", "left").select("th", "th2", "n", F.coalesce("component", "node").alias("component"))
+    known = nodes.select("th", "th2", "node", "times").join(sizes, ["th", "th2"]).join(classes, "node", "left").select("th", "th2", "times", "n", F.coalesce("component", "node").alias("component"))
+    known = stored(known, "known")
+    # A text that very many rows have is joined by a broadcast while the repeated texts are within its bound.
+    several = known.where("times > 1").drop("times")
+    rows = own.select("doc", "th", "th2")
+    once = rows.join(_small(several), ["th", "th2"], "left_anti").join(known.where("times = 1").drop("times"), ["th", "th2"])
+    placed = once.unionByName(rows.join(_small(several), ["th", "th2"]))
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))
-    return own.select("doc", "th", "th2").join(known, ["th", "th2"]).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return placed.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
