@@ -33,8 +33,10 @@ MAX_BROADCAST, BLOCK = 1_000_000, 512
 _K = np.uint64(0x9E3779B97F4A7C15)
 _SINGLE = np.uint64(0xD6E8FEB86659FD93)
 _CHUNK = 2 << 20
-#: Signatures that go out at a time, that a bucket has about, and that are held at most of one; pairs and words of parity bits compared at a time.
-_ROWS, _BUCKET, _HELD, _PAIRS, _WORDS = 300_000, 1 << 16, 4_000_000, 200_000, 1 << 18
+#: Signatures that a bucket has about, and that are held at most of one; pairs and words of parity bits compared at a time.
+_BUCKET, _HELD, _PAIRS, _WORDS = 1 << 20, 4_000_000, 200_000, 1 << 18
+#: Signatures of a bucket that go out in a row, and that go out of a task at a time at least and at most.
+_ROW, _LEAST, _MOST = 2048, 1 << 16, 1 << 21
 #: Nodes that share a signature from which a task tells it for itself.
 _MANY = 16
 #: In the place of a bucket: sizes of sets.
@@ -167,12 +169,13 @@ class _Signed:
 
     def __init__(self, bits: int):
         self.bits, self.sigs, self.nodes, self.n = bits, [], [], 0
+        self.most = min(max(_ROW << bits, _LEAST), _MOST)
 
     def add(self, node: int, h: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.sigs.append(signatures(h))
         self.nodes.append(node)
         self.n += len(self.sigs[-1])
-        if self.n > _ROWS:
+        if self.n > self.most:
             yield from self.out()
 
     def out(self) -> Iterator[pa.RecordBatch]:
