@@ -29,6 +29,37 @@ def test_defined_cases():
     assert main_text("<div class='ad'>unclosed ad <article><p>the text of it all is here</p></article>", weights) == "the text of it all is here"
 
 
+def test_article_keeps_all_but_surroundings():
+    weights = fit([PAGE % ARTICLE])
+    kept = [
+        ("formula <math><mi>x</mi></math> end", "formula x end"), ("see <object>the object's words</object> and <video>the film's words</video> here", "see the object's words and the film's words here"),
+        ("<canvas>drawn</canvas> <audio>heard</audio> <iframe>framed</iframe> <svg><text>label</text></svg> words", "drawn heard framed label words"),
+    ]
+    for inner, text in kept:
+        assert main_text(PAGE % f"<article><h1>Head line</h1><p>{inner}</p></article>", weights) == f"Head line\n\n{text}"
+    for names in ("class='search-tips'", "class='notices-of-birth'", "id='comment-on-the-law'"):
+        page = PAGE % f"<div><h1>Head line</h1><p>Some words to begin with.</p><div {names}>Look here for all that you may want to know about it.</div><p>And some to end it.</p></div>"
+        assert "Look here for all" in main_text(page, weights) and main_text(page, weights).endswith("And some to end it.")
+    for names in ("class='ad-box'", "class='sidebar-left'", "id='cookieNotice'", "class='x comments-section y'", "role=navigation", "aria-hidden=true"):
+        page = PAGE % f"<div><h1>Head line</h1><p>Some words to begin with.</p><div {names}>Look here for all that you may want.</div><p>And some to end it.</p></div>"
+        assert main_text(page, weights) == "Head line\n\nSome words to begin with.\n\nAnd some to end it."
+    # A long insertion doesn't cost the part before it.
+    page = PAGE % ("<p>Some words to begin with, of which there are not that many.</p><aside>" + "side words " * 500 + "</aside><p>And very many to end with. " + "word " * 300 + "</p>")
+    assert main_text(page, weights).startswith("Some words to begin with") and "side words" not in main_text(page, weights)
+    # Names of the body don't leave the page out, nor keep what is in it.
+    assert main_text((PAGE % ARTICLE).replace("<body>", "<body class='no-sidebar search-on'>"), weights) == WANT
+
+
+def test_linear_in_length():
+    import time
+
+    weights = fit([PAGE % ARTICLE])
+    for page in ("<div>" * 100_000 + "</b>" * 100_000, "<a " * 300_000, "<p>" + "<span>" * 50_000 + "<h1>x</h1>" * 50_000, "<!--" * 300_000, "<script>" * 100_000, "<b>" * 100_000 + "x" + "</b>" * 100_000, "<li>" * 100_000, "<div class='ad'>" * 50_000 + "x"):
+        start = time.time()
+        main_text(page, weights)
+        assert time.time() - start < 20
+
+
 def test_best_region_against_brute_force():
     rng = random.Random(0)
     for _ in range(300):
@@ -44,6 +75,20 @@ def test_frame(spark):
     assert extract_main_text(df.limit(0), fit_weights(df.limit(0))).count() == 0
 
 
+def test_held_out_pages_without_marks(spark):
+    """Weights of half of the labelled pages find the articles of the other half, whose marks are taken away."""
+    import html
+    import re
+
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+    weights, right = fit(pages[::2]), 0
+    for page in pages[1::2]:
+        inner = re.search(r"<article>(.*)</article>", page, re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split("</?(?:p|h1)>", inner)]
+        right += main_text(page.replace("article>", "div>"), weights) == "\n\n".join(b for b in blocks if b)
+    assert right >= 0.95 * len(pages[1::2])
+
+
 def test_pages_have_their_whole_articles(spark):
     """On the small table the text is that between the article's marks."""
     import html
