@@ -9,7 +9,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote, urlparse
+from urllib.parse import quote, unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +19,10 @@ from lamina.llm.common import lean, stored
 
 #: Rows that a broadcast may have; a larger side is shuffled. Bytes between two records that are read over, and bytes of a range at most (a longer record is a range of its own).
 MAX_BROADCAST, MAX_GAP, MAX_RANGE = 1_000_000, 64 << 10, 4 << 20
+#: Bytes of archives that a task reads at least, and tasks at most.
+TASK_BYTES, MAX_TASKS = 4 << 20, 20_000
+#: The field of an address as it was given, percent-encoded.
+SOURCE = "WARC-X-Source-URI"
 #: Payloads from so many bytes on are stored once.
 MIN_DEDUP_BYTES = 0
 
@@ -46,16 +50,24 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, si
     """One gzip member with a WARC record; a revisit has the head of the response alone."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = head if revisit else head + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {quote(url or '', safe=':/?#[]@!$&()*+,;=%~')}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{_named(page_id)}>"]
+    if url is not None:
+        target = quote(url, safe=":/?#[]@!$&()*+,;=%~")
+        # An address that the header can't have as it is has a second field.
+        lines += [f"WARC-Target-URI: {target}", *([f"{SOURCE}: {quote(url, safe='')}"] if target != url else [])]
     lines += ["WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{_named(refers_to)}>"]
     pack = zlib.compressobj(1, zlib.DEFLATED, 31)
     return pack.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
 
 
+def _named(page_id: int | None) -> str:
+    return "" if page_id is None else str(page_id)
+
+
 def _id(text: str) -> int | None:
-    return None if text == "None" else int(text)
+    return int(text) if text else None
 
 
 def parse(member: bytes) -> tuple:
@@ -70,7 +82,8 @@ def parse(member: bytes) -> tuple:
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     refers = _id(fields["WARC-Refers-To"][10:-1]) if revisit else None
     intact = revisit or (len(payload) == size and base64.b32encode(hashlib.sha1(payload).digest()).decode() == digest)
-    return _id(fields["WARC-Record-ID"][10:-1]), fields["WARC-Target-URI"], fields["WARC-Type"], refers, digest, size, None if revisit else payload, intact
+    url = unquote(fields[SOURCE]) if SOURCE in fields else fields.get("WARC-Target-URI")
+    return _id(fields["WARC-Record-ID"][10:-1]), url, fields["WARC-Type"], refers, digest, size, None if revisit else payload, intact
 
 
 def write_warc(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = MIN_DEDUP_BYTES) -> DataFrame:
@@ -122,9 +135,9 @@ def ranges(places: list[tuple[int, int]]) -> list[tuple[int, int, list[tuple[int
 
 
 def read_warc(index: DataFrame) -> DataFrame:
-    """The records that index rows (file, offset, length) select, read in order of files and offsets, near ones in one range.
+    """The records that index rows (file, offset, length) select, read in order of files and offsets, near ones in one range. A task has stretches of files of TASK_BYTES in all, or more where that would be over MAX_TASKS tasks.
 
-    Returns page_id, url, record_type, refers_to, payload_digest, payload_bytes (both of the full payload), payload (null of a revisit) and intact (whether a response's payload has its digest
+    Returns page_id, url (as it was given), record_type, refers_to, payload_digest, payload_bytes (both of the full payload), payload (null of a revisit) and intact (whether a response's payload has its digest
     and length). An empty index gives an empty result; a record selected twice is returned twice."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,4 +155,7 @@ def read_warc(index: DataFrame) -> DataFrame:
                         found = [parse(data[o - start : o - start + n]) for o, n in records]
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names)
 
-    return index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset").mapInArrow(lean(work), _READ)
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, min(MAX_TASKS, -(-total // TASK_BYTES)))
+    stretch = F.floor(F.col("offset") / max(TASK_BYTES, total // MAX_TASKS))
+    return index.select("file", "offset", "length").repartition(tasks, "file", stretch).sortWithinPartitions("file", "offset").mapInArrow(lean(work), _READ)
