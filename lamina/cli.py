@@ -11,7 +11,7 @@ from lamina.operators.lint import at_least, has_issue, lint, prescription, print
 from lamina.operators.rewrite import rewrite
 from lamina.operators.rules import RULES, SEVERITIES
 from lamina.plans.dsl import Prescription
-from lamina.plans.writer import infer, plan
+from lamina.plans.writer import infer_all, plan
 from lamina.sources.footer import footers
 from lamina.sources.texts import read_prescription, read_prescriptions
 
@@ -84,15 +84,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             write_prescription(args.export_prescription, wanted)
         if args.dry_run:
             print(wanted)
-            planned = plan(wanted, infer(footers(spark, args.file)), args.unsafe)
+            plans = [plan(wanted, s, args.unsafe) for s, _, _, _ in infer_all(footers(spark, args.file))]
         elif not args.output:
             print("error: -o names the output", file=sys.stderr)
             return 2
         else:
-            planned = rewrite(spark, args.file, args.output, wanted, args.unsafe, single=True)
-            print(f"Wrote {args.output} ({planned.sink} writer)")
-        for d, why in planned.unapplied:
-            print(f"not applied: {d} ({why})", file=sys.stderr)
+            plans = [p for p, _ in rewrite(spark, args.file, args.output, wanted, args.unsafe, single=True)]
+            print(f"Wrote {args.output} ({', '.join(sorted({p.sink for p in plans}))} writer)")
+        for planned in plans:
+            for d, why in planned.unapplied:
+                print(f"not applied: {d} ({why})", file=sys.stderr)
+            for what in planned.lost:
+                print(f"not kept: {what}", file=sys.stderr)
         return 0
     from lamina.operators.benchmark import benchmark, report_text
     from lamina.sources.texts import read_manifest

@@ -57,8 +57,8 @@ def benchmark(spark: SparkSession, manifest: str, data_dir: str, output_dir: str
         fetch_if_missing(r.location, source)
         done = rewrite(spark, source, target, None if prescriptions is None else prescriptions[r.idx])
         name = os.path.basename(r.location)
-        if done is not None and not same_schema(spark, source, target):
+        if done and not same_schema(spark, source, target):
             raise ValueError(f"{name}: the schema changed")
         before.append((r.idx, name, *measure(spark, source, iterations, batch_size)))
-        after.append((r.idx, name, *measure(spark, target if done is not None else source, iterations, batch_size)))
+        after.append((r.idx, name, *measure(spark, target if done else source, iterations, batch_size)))
     return report(spark.createDataFrame(before, MEASURES), spark.createDataFrame(after, MEASURES))

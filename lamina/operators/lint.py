@@ -12,11 +12,11 @@ from lamina.sources.footer import footers
 ORDER = ["file", "severity_ord", "rule_ord", "location.index"]
 
 
-def lint(spark: SparkSession, *locations: str, rules: list[str] | None = None, chunks: DataFrame | None = None) -> DataFrame:
+def lint(spark: SparkSession, *locations: str, rules: list[str] | None = None, inputs: Inputs | None = None) -> DataFrame:
     """Findings for every file at locations, in order: by file, then suggestions before warnings, each in the order of rules and columns.
 
     ordinal numbers the findings of a file from 0. Files without row groups have none. Findings are few for each file; only footers, page headers and bounded samples are read."""
-    found = evaluate(Inputs(chunks if chunks is not None else footers(spark, *locations).cache()), rules)
+    found = evaluate(inputs or Inputs(footers(spark, *locations).cache()), rules)
     w = Window.partitionBy("file").orderBy("severity_ord", "rule_ord", "location.index")
     return found.withColumn("ordinal", F.row_number().over(w) - 1).orderBy("file", "ordinal")
 

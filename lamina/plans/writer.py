@@ -53,6 +53,9 @@ def inferred_files(chunks: DataFrame) -> DataFrame:
     )
 
 
+#: Rows of a row group that writers make by themselves.
+USUAL_ROWS = 1_048_576
+
 # Names of gzip levels 0 to 9.
 GZIP_LEVELS = ("NO_COMPRESSION", "BEST_SPEED", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "BEST_COMPRESSION")
 
@@ -114,13 +117,39 @@ def infer(chunks: DataFrame) -> Settings:
     return out
 
 
+def infer_all(chunks: DataFrame, found: DataFrame | None = None) -> list[tuple[Settings, list[str], set[str], list[str]]]:
+    """The settings of files, with their directives as text and those of them that are marked small in found (file, ordinal, scope, path, property, value, small): a tuple, with the names of its files, for all files that have the same.
+
+    The driver gets the distinct settings and the names of files. The largest row group isn't a setting of files that have one of a usual size."""
+    column = F.struct("col_idx", "path", "codec", "encoding", "dictionary", "statistics", "bloom_filter")
+    columns = inferred_columns(chunks).groupBy("file").agg(F.array_sort(F.collect_list(column)).alias("columns"))
+    several = chunks.groupBy("file").agg((F.max("row_group") > 0).alias("several"))
+    rows = F.when(F.col("several") | (F.col("max_row_group_size") > USUAL_ROWS), F.col("max_row_group_size")).alias("rows")
+    one = inferred_files(chunks).join(several, "file").join(columns, "file").select("file", "version", "created_by", F.array_sort(F.map_entries("key_values")).alias("key_values"), "sorting", rows, "columns")
+    if found is None:
+        one = one.withColumn("lines", F.array().cast("array<struct<line:string,small:boolean>>"))
+    else:
+        line = F.struct("ordinal", F.concat_ws(" ", F.lit("set"), "scope", "path", "property", "value").alias("line"), "small")
+        lines = found.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: F.struct(x["line"].alias("line"), x["small"].alias("small"))).alias("lines"))
+        one = one.join(lines, "file", "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<struct<line:string,small:boolean>>")))
+    keys = [c for c in one.columns if c != "file"]
+    out = []
+    for r in one.groupBy(*keys).agg(F.array_sort(F.collect_list("file")).alias("files")).collect():
+        s = Settings(max_row_group_size=r.rows, version=r.version, created_by=r.created_by, key_values={k: v for k, v in r.key_values or ()}, sorting=r.sorting)
+        for c in r.columns:
+            s.columns[c.path] = ColumnSettings(codec=codec_of(c.codec), encoding=(c.encoding or "").lower() or None, dictionary=c.dictionary, statistics=c.statistics, bloom_filter=c.bloom_filter)
+        out.append((s, [x.line for x in r.lines], {x.line for x in r.lines if x.small}, list(r.files)))
+    return sorted(out, key=lambda x: x[3])
+
+
 @dataclass
 class Plan:
-    """The sink that is to write, its options, and directives that it doesn't apply, with the reason."""
+    """The sink that is to write, its options, directives that it doesn't apply, with the reason, and what it loses of how the file was written."""
 
     sink: str
     options: dict[str, object] = field(default_factory=dict)
     unapplied: list[tuple[Directive, str]] = field(default_factory=list)
+    lost: list[str] = field(default_factory=list)
 
 
 NATIVE_COLUMN = ("dictionary", "dictionary_page_size_limit", "statistics", "bloom_filter", "bloom_filter_ndv", "bloom_filter_fpp")
@@ -176,11 +205,43 @@ def apply_prescription(writer: DataFrameWriter, text: str) -> DataFrameWriter:
     return writer.options(**options)
 
 
-def plan(prescription: Prescription, settings: Settings | None = None, unsafe: bool = False) -> Plan:
-    """Choose the sink for a prescription: the native one if it can apply all of it. With unsafe also layouts are written that Spark's vectorized reader can't read."""
+def _kept_by_native(settings: Settings, kept: list[Directive]) -> list[Directive]:
+    """What a file was written with, but for what directives say, as directives that Spark's writer applies."""
+    said = {(d.path, d.property) for d in kept}
+    base = next(iter(settings.columns.values())).codec
+    out = [Directive("compression", base)] if base and base.name != "brotli" else []
+    if settings.max_row_group_size and (None, "max_row_group_size") not in said:
+        out.append(Directive("max_row_group_size", settings.max_row_group_size))
+    for path, c in settings.columns.items():
+        if c.dictionary is False and (path, "dictionary") not in said:
+            out.append(Directive("dictionary", False, path))
+        if c.statistics == "none" and (path, "statistics") not in said:
+            out.append(Directive("statistics", "none", path))
+        if c.bloom_filter and (path, "bloom_filter") not in said:
+            out.append(Directive("bloom_filter", True, path))
+    return out
+
+
+def _lost(settings: Settings, sink: str) -> list[str]:
+    """What a sink can't write as it was."""
+    out = [f"created_by {settings.created_by}"] if settings.created_by else []
+    if sink == "native":
+        out += [f"version {settings.version}"] if settings.version == "v2" else []
+        out += [f"sorting {settings.sorting}"] if settings.sorting else []
+        out += [f"key {k}" for k in sorted(settings.key_values) if not k.startswith("org.apache.spark.")]
+        out += [f"encoding {c.encoding} of {p}" for p, c in settings.columns.items() if c.encoding not in (None, "plain")]
+    else:
+        out += [f"bloom_filter of {p}" for p, c in settings.columns.items() if c.bloom_filter]
+    return out
+
+
+def plan(prescription: Prescription, settings: Settings | None = None, unsafe: bool = False, skipped: set[str] = frozenset()) -> Plan:
+    """Choose the sink for a prescription: the native one if it can apply all of it. With unsafe also layouts are written that Spark's vectorized reader can't read. Directives whose text is in skipped aren't applied."""
     kept, left = [], []
     for d in prescription.settled().values():
-        if d.property == "encoding" and d.value == "byte_stream_split" and not unsafe:
+        if str(d) in skipped:
+            left.append((d, "the column's dictionary of few values is smaller"))
+        elif d.property == "encoding" and d.value == "byte_stream_split" and not unsafe:
             left.append((d, "Spark's vectorized reader can't read BYTE_STREAM_SPLIT"))
         elif d.property == "compression" and d.value.name == "brotli" and not unsafe:
             left.append((d, "Spark has no brotli codec"))
@@ -190,16 +251,14 @@ def plan(prescription: Prescription, settings: Settings | None = None, unsafe: b
     base_mixed = settings is not None and len({str(c.codec) for c in settings.columns.values()}) > 1
     if not by_column and not base_mixed and not any(d.property == "compression" and d.value.name == "brotli" for d in kept):
         if settings is not None and settings.columns:  # columns have the codec that they had, which a file's directive doesn't change
-            base = next(iter(settings.columns.values())).codec
-            kept = [*(d for d in kept if not (d.path is None and d.property == "compression")), *([Directive("compression", base)] if base and base.name != "brotli" else [])]
-            if settings.max_row_group_size and not any(d.property == "max_row_group_size" for d in kept):
-                kept.append(Directive("max_row_group_size", settings.max_row_group_size))
+            kept = [*(d for d in kept if not (d.path is None and d.property == "compression")), *_kept_by_native(settings, kept)]
         options, more = native_options(Prescription(kept))
-        return Plan("native", options, left + more)
+        return Plan("native", options, left + more, _lost(settings, "native") if settings is not None else [])
+    lost = _lost(settings, "arrow") if settings is not None else []
     final = (settings or Settings()).apply(Prescription(kept))
     left += [(d, "pyarrow's writer has no bloom filters") for d in kept if d.property.startswith("bloom")]
     left += [(d, "pyarrow's writer doesn't cut statistics") for d in kept if d.property == "statistics_truncate_length"]
-    return Plan("arrow", arrow_options(final), left)
+    return Plan("arrow", arrow_options(final), left, lost)
 
 
 def arrow_options(s: Settings) -> dict[str, object]:
@@ -218,4 +277,6 @@ def arrow_options(s: Settings) -> dict[str, object]:
         "column_encoding": encodings or None, "write_statistics": stats if columns else True, "write_page_index": any(c.statistics == "page" for c in columns.values()), "row_group_size": s.max_row_group_size,
         "data_page_size": s.data_page_size_limit, "dictionary_pagesize_limit": max(limits) if limits else None, "version": "1.0" if s.version == "v1" else "2.6",
     }
+    # The schema that pyarrow keeps for itself is written anew.
+    out |= {"key_values": {k: v for k, v in s.key_values.items() if k != "ARROW:schema"} or None, "sorting": s.sorting}
     return {k: v for k, v in out.items() if v is not None}

@@ -185,7 +185,7 @@ def test_two_columns_one_rewritten(spark, tmp_path):
     source, target = str(tmp_path / "x.parquet"), str(tmp_path / "y")
     pq.write_table(table, source, compression={"a": "zstd", "b": "snappy"})
     done = rewrite(spark, source, target, Prescription.parse("set column a compression gzip(6)"), single=True)
-    assert done.sink == "arrow" and {r.path: r.codec for r in footers(spark, target).collect()} == {"a": "GZIP", "b": "SNAPPY"}
+    assert done[0][0].sink == "arrow" and {r.path: r.codec for r in footers(spark, target).collect()} == {"a": "GZIP", "b": "SNAPPY"}
     assert same_schema(spark, source, target) and [tuple(r) for r in spark.read.parquet(target).collect()] == [(1, 10), (2, 20), (3, 30), (4, 40)]
 
 
@@ -194,7 +194,7 @@ def test_rewrite_removes_findings(spark, tmp_path):
     pq.write_table(pa.table({"a": list(range(70_000)), "t": pa.array(range(70_000), pa.timestamp("us"))}), source)
     assert {"page-row-group-size", "timestamp-delta-encoding"} <= {r.rule for r in lint(spark, source).collect()}
     done = rewrite(spark, source, target, single=True)
-    assert not {"page-row-group-size", "timestamp-delta-encoding", "missing-page-statistics"} & {r.rule for r in lint(spark, target).collect()} and done.unapplied == []
+    assert not {"page-row-group-size", "timestamp-delta-encoding", "missing-page-statistics"} & {r.rule for r in lint(spark, target).collect()} and done[0][0].unapplied == []
     assert spark.read.parquet(target).exceptAll(spark.read.parquet(source)).count() == 0 and spark.read.parquet(target).count() == 70_000
 
 
@@ -205,13 +205,68 @@ def test_native_sink_and_inference(spark, tmp_path):
     assert s.max_row_group_size == 2500 and s.columns["a"].codec == Codec("gzip", 6) and s.columns["a"].dictionary and s.columns["a"].statistics == "chunk"
     done = rewrite(spark, source, target, Prescription.parse("set column a bloom_filter true\nset column a dictionary false"), single=True)
     rows = footers(spark, target).collect()
-    assert done.sink == "native" and {r.codec for r in rows} == {"GZIP"} and len({r.row_group for r in rows}) == 2 and all(r.bloom_offset for r in rows if r.path == "a")
+    assert done[0][0].sink == "native" and {r.codec for r in rows} == {"GZIP"} and len({r.row_group for r in rows}) == 2 and all(r.bloom_offset for r in rows if r.path == "a")
     apply_prescription(spark.read.parquet(source).write.mode("overwrite"), "set file compression zstd(3)").parquet(target)
     assert {r.codec for r in footers(spark, target).collect()} == {"ZSTD"}
     with pytest.raises(ValueError):
         apply_prescription(spark.range(1).write, "set file compression snappy\nset file compression zstd(3)")
 
 
+def test_rewrite_onto_its_source(spark, tmp_path):
+    folder = tmp_path / "f"
+    folder.mkdir()
+    pq.write_table(pa.table({"a": list(range(70_000))}), folder / "x.parquet")
+    for source, target in ((folder, folder), (folder / "x.parquet", folder), (folder, folder / "new"), (folder, f"file://{folder}/"), (folder, folder / ".." / "f")):
+        with pytest.raises(ValueError, match="lie in each other"):
+            rewrite(spark, str(source), str(target))
+        assert spark.read.parquet(str(folder)).count() == 70_000
+    old = tmp_path / "old"
+    old.mkdir()
+    (old / "stale.parquet").write_bytes(b"stale")
+    rewrite(spark, str(folder), str(old))
+    assert spark.read.parquet(str(old)).count() == 70_000 and sorted(os.listdir(tmp_path)) == ["f", "old"]
+
+
+def test_rewrite_keeps_how_files_were_written(spark, tmp_path):
+    folder = tmp_path / "f"
+    folder.mkdir()
+    n = 3000
+    table = pa.table({"a": list(range(n)), "b": ["x", "y", "z"] * (n // 3), "c": [float(i % 7) for i in range(n)]})
+    table = table.replace_schema_metadata({"owner": "someone"})
+    pq.write_table(table, folder / "1.parquet", use_dictionary=["b"], write_statistics=["a", "b"], version="1.0", row_group_size=1000, compression="gzip", sorting_columns=[pq.SortingColumn(0)])
+    pq.write_table(table, folder / "2.parquet", compression="zstd")
+    # The native sink: a plan for each file, as they were written in different ways.
+    done = rewrite(spark, str(folder), str(tmp_path / "native"), Prescription.parse("set column a bloom_filter true"))
+    assert [p.sink for p, _ in done] == ["native"] * 2 and [len(f) for _, f in done] == [1, 1] and any(x.startswith("key owner") for x in done[0][0].lost) and any(x.startswith("sorting") for x in done[0][0].lost)
+    rows = footers(spark, str(tmp_path / "native")).collect()
+    gzip = [r for r in rows if r.codec == "GZIP"]
+    assert {r.codec for r in rows} == {"GZIP", "ZSTD"} and len({r.row_group for r in gzip}) == 3 and all(r.bloom_offset for r in rows if r.path == "a")
+    assert {r.path for r in gzip if "RLE_DICTIONARY" in r.encodings or "PLAIN_DICTIONARY" in r.encodings} == {"b"} and {r.path for r in gzip if r.has_stats} == {"a", "b"}
+    # The Arrow sink.
+    done = rewrite(spark, str(folder), str(tmp_path / "arrow"), Prescription.parse("set column b compression snappy"))
+    rows = footers(spark, str(tmp_path / "arrow")).collect()
+    gzip = [r for r in rows if r.codec == "GZIP"]
+    assert [p.sink for p, _ in done] == ["arrow"] * 2 and {(r.path, r.codec) for r in rows} == {("a", "GZIP"), ("c", "GZIP"), ("a", "ZSTD"), ("c", "ZSTD"), ("b", "SNAPPY")}
+    assert all(r.key_values.get("owner") == "someone" and r.writer_version == 1 and r.sorting == "0:0:0" and not r.has_stats or r.path != "c" for r in gzip) and len({r.row_group for r in gzip}) == 3
+    for where in ("native", "arrow"):
+        back = spark.read.parquet(str(tmp_path / where))
+        assert back.count() == 2 * n and back.exceptAll(spark.read.parquet(str(folder))).count() == 0
+    assert rewrite(spark, str(folder), str(tmp_path / "none"), Prescription.parse("# nothing")) == [] and not (tmp_path / "none").exists()
+
+
+def test_rewrite_without_rows(spark, tmp_path):
+    pq.write_table(pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.string())}), tmp_path / "x.parquet")
+    rewrite(spark, str(tmp_path / "x.parquet"), str(tmp_path / "y"), Prescription.parse("set column a compression zstd(3)"))
+    assert spark.read.parquet(str(tmp_path / "y")).count() == 0
+
+
+def test_small_dictionaries_stay(spark, tmp_path):
+    pq.write_table(pa.table({"t": pa.array([i % 50 for i in range(70_000)], pa.timestamp("us")), "u": pa.array(range(70_000), pa.timestamp("us"))}), tmp_path / "x.parquet")
+    (planned, _), = rewrite(spark, str(tmp_path / "x.parquet"), str(tmp_path / "y"))
+    assert {(d.path, d.property) for d, _ in planned.unapplied} == {("t", "encoding")}
+    assert {r.path for r in footers(spark, str(tmp_path / "y")).collect() if "RLE_DICTIONARY" in r.encodings} == {"t"}
+
+
 def test_plan_lists_what_it_cannot_apply():
     p = plan(Prescription.parse("set column a encoding byte_stream_split\nset file compression brotli(3)"))
     assert len(p.unapplied) == 2 and p.sink == "native"
