@@ -39,8 +39,10 @@ _BUCKET, _HELD, _PAIRS, _WORDS = 1 << 20, 4_000_000, 200_000, 1 << 18
 _ROW, _LEAST, _MOST = 2048, 1 << 16, 1 << 21
 #: Nodes that share a signature from which a task tells it for itself.
 _MANY = 16
-#: In the place of a bucket: sizes of sets.
-SIZES = -(1 << 62)
+#: Partitions at most that buckets are dealt to.
+_PARTITIONS = 50_000
+#: Less than this in the place of a bucket: sizes of sets.
+SIZES = -(1 << 61)
 
 
 def shingles(text) -> np.ndarray:
@@ -212,7 +214,7 @@ def _led(sig: np.ndarray, node: np.ndarray, many: int) -> tuple[np.ndarray, np.n
 
 
 def _signed(bits: int):
-    """For mapInArrow, of rows (node, th, th2, text): packed signatures, and the sizes of the sets (SIZES in the place of a bucket) by the hashes of the texts."""
+    """For mapInArrow, of rows (node, th, th2, text): packed signatures, and the sizes of the sets (under SIZES in the place of a bucket) by the hashes of the texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed = _Signed(bits)
@@ -223,7 +225,8 @@ def _signed(bits: int):
                 if node is not None:
                     yield from signed.add(node, h)
             if sizes:
-                yield _packed(np.array([SIZES]), np.array([0, len(sizes)]), batch.column(1).to_numpy(), batch.column(2).to_numpy(), np.array(sizes, np.int64))
+                th = batch.column(1).to_numpy()
+                yield _packed(np.array([SIZES - 1 - (int(th[0]) & 0xFFFFFFFF)]), np.array([0, len(sizes)]), th, batch.column(2).to_numpy(), np.array(sizes, np.int64))
         yield from signed.out()
 
     return work
@@ -253,7 +256,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, bucket in enumerate(batch.column(0).to_pylist()):
             a, b, c = (np.frombuffer(v[i].as_buffer(), t) for v, t in ((x, np.uint64), (y, np.int64), (z, np.int64)))
             if bucket < 0:
-                yield from _rows(int(bucket == SIZES), a, b, c)
+                yield from _rows(int(bucket < SIZES), a, b, c)
                 continue
             if bucket != now:
                 yield from told()
@@ -383,7 +386,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     copies = stored(own.join(_small(repeated), ["th", "th2"]).where("NOT doc <=> node").select("doc", "th", "th2").distinct(), "copies")
     kept = keyed.join(_small(copies), keyed["doc"].eqNullSafe(copies["doc"]) & (keyed["th"] == copies["th"]) & (keyed["th2"] == copies["th2"]), "left_anti")
     signed = kept.mapInArrow(lean(_signed(bits)), "bucket long, x binary, y binary, z binary")
-    found = stored(signed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_shared), "sig long, node long, lead long, kind int"), "shared")
+    # A partition for each bucket, so that none has several by chance.
+    partitions = min(1 << bits, _PARTITIONS)
+    dealt = signed.repartitionById(partitions, F.pmod("bucket", F.lit(partitions)).cast("int"))
+    found = stored(dealt.sortWithinPartitions("bucket").mapInArrow(lean(_shared), "sig long, node long, lead long, kind int"), "shared")
     shared = found.where("kind = 0")
     sizes = found.where("kind = 1").select(F.col("sig").alias("th"), F.col("node").alias("th2"), F.col("lead").alias("n")).distinct()
 
