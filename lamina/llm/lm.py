@@ -1,8 +1,8 @@
 """An interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted hash arrays, mapped into memory by the workers that score.
 
-Words are known by 64-bit hashes, cut by their first bits into buckets; a bucket is a file with its sorted hashes and their numbers. A word's id is its place
-over all buckets. A bigram is the pair of two ids put through a bijection, so that these hashes spread evenly and never collide. Each task sums what
-it reads before rows go out, so a frequent word or bigram has a row for each task at most. Only summaries of buckets come to the driver.
+Words are known by 64-bit hashes, cut by their first bits into buckets; a bucket is a file, named by its number, with its sorted hashes and their counts. A word's id is its bucket
+and its place there. A bigram is the pair of two ids put through a bijection, so that these hashes spread evenly and never collide. Each task sums what
+it reads before it goes out, packed by bucket, so a frequent word or bigram counts once for each task or so. Only totals come to the driver.
 """
 
 from __future__ import annotations
@@ -10,13 +10,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm.common import crc_mod, lean, mix64, shared_path, span_hashes, stored, text_bytes, word_spans
@@ -26,6 +27,11 @@ from lamina.llm.warc import _open
 FOLDS, BASE_ADD = 10, 0.1
 #: Bytes of text worked on at a time, sums a task keeps before rows go out, text bytes for each bucket.
 _CHUNK, _KEPT, _BUCKET_BYTES = 2 << 20, 1_000_000, 6 << 20
+#: Sums of a bucket that go out in a row, and that a task keeps at least; partitions that buckets are dealt to at most; bits of a word's id.
+_ROW, _LEAST, _PARTITIONS, _ID_BITS = 4096, 1 << 16, 50_000, 32
+#: Bytes and number of bucket files that a worker has mapped at most.
+_MAPPED, _MAPS = 384 << 20, 8192
+_PACKED = "bucket long, sums binary"
 
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _M1_INV, _M2_INV = (np.uint64(pow(m, -1, 1 << 64)) for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -66,11 +72,12 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class _Sums:
-    """Sums by key that go out when they are many."""
+    """Sums by key that go out when they are many, packed: a row has the keys of one bucket (by their first bits) and their sums."""
 
-    def __init__(self, names: list[str]):
-        self.names, self.parts, self.size, self.floor = names, [], 0, 0
-        self.most = max(1, 2 * _KEPT // len(names))  # the more numbers with a key, the fewer keys
+    def __init__(self, bits: int, width: int):
+        self.bits, self.width, self.parts, self.size, self.floor = bits, width, [], 0, 0
+        # Rows are in proportion to what is read, as more are kept where there are more buckets; the more numbers with a key, the fewer keys.
+        self.most = max(1, min(max(_ROW << bits, _LEAST), 2 * _KEPT) // (1 + width))
 
     def add(self, keys: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.parts.append(_summed(keys, values))
@@ -89,113 +96,160 @@ class _Sums:
         self.merge()
         if self.size:
             keys, values = self.parts[0]
-            columns = values.reshape(len(keys), -1).T
-            for at in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000].view(np.int64) if x.dtype == np.uint64 else np.ascontiguousarray(x[at : at + 100_000])) for x in (keys, *columns)], self.names)
+            values = values.reshape(len(keys), self.width)
+            bucket = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(keys)]
+            packed = [keys[i:j].tobytes() + values[i:j].T.tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(packed, pa.binary())], ["bucket", "sums"])
         self.parts, self.size, self.floor = [], 0, 0
 
 
 def _save(path: str, *arrays: np.ndarray) -> None:
-    with _open(path, "wb") as f:
+    """Write arrays one after another, all or nothing: a task that is run again, or twice at a time, leaves the same file."""
+    at = urlparse(path)
+    local = at.scheme in ("", "file")
+    hidden = f"{path}.{uuid.uuid4().hex}" if local else path  # a store has a whole object or none
+    with _open(hidden, "wb") as f:
         for a in arrays:
             f.write(np.ascontiguousarray(a).tobytes())
+    if local:
+        os.replace(urlparse(hidden).path, at.path)
 
 
-_maps: dict[str, np.ndarray] = {}
+_maps: OrderedDict[str, np.ndarray] = OrderedDict()
+_mapped_bytes = 0
 
 
 def _mapped(path: str) -> np.ndarray:
-    """The bytes of a file of the shared folder, mapped into memory; from a store that isn't mounted by way of a file that is gone at once."""
-    if path not in _maps:
-        at = urlparse(path)
-        if at.scheme in ("", "file"):
-            _maps[path] = np.memmap(at.path, np.uint8, "r") if os.path.getsize(at.path) else np.zeros(0, np.uint8)
-        else:
+    """The bytes of a file of the shared folder, mapped into memory, none if there is no such file; from a store that isn't mounted by way of a file that goes with the mapping. Those used last are kept, _MAPPED bytes in all."""
+    global _mapped_bytes
+    if path in _maps:
+        _maps.move_to_end(path)
+        return _maps[path]
+    at = urlparse(path)
+    none = np.zeros(0, np.uint8)
+    if at.scheme in ("", "file"):
+        found = np.memmap(at.path, np.uint8, "r") if os.path.exists(at.path) and os.path.getsize(at.path) else none
+    else:
+        try:
             with tempfile.NamedTemporaryFile() as f, _open(path, "rb") as source:
                 while data := source.read(8 << 20):
                     f.write(data)
                 f.flush()
-                _maps[path] = np.memmap(f.name, np.uint8, "r") if f.tell() else np.zeros(0, np.uint8)
-    return _maps[path]
+                found = np.memmap(f.name, np.uint8, "r") if f.tell() else none
+        except FileNotFoundError:
+            found = none
+    _maps[path] = found
+    _mapped_bytes += len(found)
+    while len(_maps) > 1 and (_mapped_bytes > _MAPPED or len(_maps) > _MAPS):
+        _mapped_bytes -= len(_maps.popitem(last=False)[1])
+    return found
+
+
+def _small(values: np.ndarray) -> np.ndarray:
+    """Numbers in the smallest type that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
+def _columns(path: str, width: int) -> list[np.ndarray]:
+    """The keys and columns of a bucket file: after the number of keys and the bytes of a number of each column."""
+    data = _mapped(path)
+    if not len(data):
+        return [np.zeros(0, np.uint64), *(np.zeros(0, np.uint8) for _ in range(width))]
+    n, *sizes = data[: 8 * (1 + width)].view(np.int64).tolist()
+    at, out = 8 * (1 + width), []
+    for size in (8, *sizes):
+        out.append(data[at : at + n * size].view(f"u{size}"))
+        at += n * size
+    return out
 
 
-def _buckets(folder: str, bits: int, width: int):
-    """A function for mapInArrow: of rows (h, values) sorted by h, with all rows of a bucket in a task, write a file for each bucket: hashes, then the columns of sums. Rows out: bucket, path, n, sums of columns, numbers of sums 1 to 4."""
+def _buckets(folder: str, width: int):
+    """A function for mapInArrow: of packed rows sorted by bucket, with all rows of a bucket in a task, write a file for each bucket: its keys, sorted, and the columns of sums. Rows out: numbers of keys, and of first sums over 0 and of 1 to 4, the largest number, sums of the first."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        bucket = -1
+        now, held = None, 0
+        total = np.zeros(7, np.int64)
+        most = 0
 
-        def close() -> Iterator[pa.RecordBatch]:
+        def close() -> None:
+            nonlocal most, held
             if parts:
                 keys, sums = _summed(*(np.concatenate(x) for x in zip(*parts)))
-                path = f"{folder}/{uuid.uuid4().hex}.bin"
-                _save(path, keys, *sums.T)
-                small = [int((sums[:, 0] == k).sum()) for k in (1, 2, 3, 4)]
-                row = [bucket, path, len(keys), sums.sum(0).tolist(), small, int((sums[:, 0] > 0).sum())]
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["bucket", "path", "n", "sums", "small", "positive"])
+                columns = [_small(c) for c in sums.T]
+                _save(f"{folder}/{now}.bin", np.array([len(keys), *(c.itemsize for c in columns)], np.int64), keys, *columns)
+                first = sums[:, 0]
+                total[:] += [len(keys), (first > 0).sum(), *((first == k).sum() for k in (1, 2, 3, 4)), first.sum()]
+                most = max(most, len(keys))
             parts.clear()
+            held = 0
 
         for batch in batches:
-            h = batch.column(0).to_numpy().view(np.uint64)
-            values = np.stack([batch.column(1 + i).to_numpy().astype(np.int64) for i in range(width)], 1)
-            of = (h >> np.uint64(64 - bits)).astype(np.int64)
-            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(h)]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if b > a:
-                    if of[a] != bucket:
-                        yield from close()
-                        bucket = int(of[a])
-                    parts.append((h[a:b], values[a:b]))
-                    if len(parts) > 64:
-                        parts[:] = [_summed(*(np.concatenate(x) for x in zip(*parts)))]
-        yield from close()
+            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if bucket != now:
+                    close()
+                    now = bucket
+                data = packed.as_buffer()
+                n = len(data) // (8 * (1 + width))
+                keys = np.frombuffer(data, np.uint64, n)
+                parts.append((keys, np.frombuffer(data, np.int64, n * width, 8 * n).reshape(width, n).T))
+                held += n
+                if held > _KEPT and len(parts) > 8:
+                    parts[:] = [_summed(*(np.concatenate(x) for x in zip(*parts)))]
+                    held = 0
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in (*total, most)], [x.split(" ")[0] for x in _SUMMARY.split(", ")])
 
     return work
 
 
-_SUMMARY = "bucket long, path string, n long, sums array<long>, small array<long>, positive long"
+_SUMMARY = "n long, positive long, one long, two long, three long, four long, sum long, most long"
 
 
-def _by_bucket(df: DataFrame, bits: int, folder: str, width: int, label: str) -> list:
-    """Write the buckets of rows (h, values); their summaries by bucket, as many as there are buckets."""
-    bucket = F.shiftrightunsigned("h", 64 - bits)
-    # The order of unsigned numbers is that of signed ones with the first bit turned.
-    sorted_ = df.repartition(max(4, (1 << bits) // 2), bucket).sortWithinPartitions(F.col("h").bitwiseXOR(F.lit(-(1 << 63))))
-    done = stored(sorted_.mapInArrow(lean(_buckets(folder, bits, width)), _SUMMARY), label)
-    return sorted(done.collect(), key=lambda r: r.bucket)
+def _by_bucket(df: DataFrame, bits: int, folder: str, width: int, label: str) -> Row:
+    """Write the buckets of packed rows; what _buckets says of them, summed."""
+    partitions = min(1 << bits, _PARTITIONS)
+    dealt = df.repartitionById(partitions, F.pmod("bucket", F.lit(partitions)).cast("int")).sortWithinPartitions("bucket")
+    done = stored(dealt.mapInArrow(lean(_buckets(folder, width)), _SUMMARY), label)
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in done.columns[:-1]]
+    return done.agg(*sums, F.coalesce(F.max("most"), F.lit(0)).alias("most")).first()
+
+
+def _of_buckets(spark: SparkSession, bits: int, work, schema: str) -> DataFrame:
+    """What work says of the numbers of all buckets."""
+    numbers = spark.range(0, 1 << bits, 1, max(1, min(_PARTITIONS, (1 << bits) // 4)))
+    return numbers.mapInArrow(lean(work), schema)
 
 
 @dataclass
 class Table:
-    """Sorted hash arrays in bucket files: for each bucket its file and the entries before it."""
+    """Sorted hash arrays in bucket files, which are named by their number; a key's number is that of its bucket and its place there."""
 
     bits: int
     width: int
-    paths: dict[int, str]
-    before: dict[int, int]
-    sizes: dict[int, int]
+    folder: str
 
-    @classmethod
-    def of(cls, rows: list, bits: int, width: int) -> Table:
-        at = np.cumsum([0, *(r.n for r in rows)]).tolist()
-        return cls(bits, width, {r.bucket: r.path for r in rows}, {r.bucket: b for r, b in zip(rows, at)}, {r.bucket: r.n for r in rows})
+    def path(self, bucket: int) -> str:
+        return f"{self.folder}/{bucket}.bin"
 
     def find(self, keys: np.ndarray, columns: tuple[int, ...] = ()) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Of sorted keys the places (-1 where absent) and values of the columns (0 where absent)."""
+        """Of sorted keys the numbers (-1 where absent) and values of the columns (0 where absent)."""
         place, out = np.full(len(keys), -1, np.int64), [np.zeros(len(keys), np.int64) for _ in columns]
-        cuts = np.searchsorted(keys >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64))
-        for b, path in self.paths.items():
-            lo, hi = int(cuts[b]), int(cuts[b + 1])
-            if lo == hi:
+        if not len(keys):
+            return place, out
+        bucket = keys >> np.uint64(64 - self.bits)
+        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(keys)]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            b = int(bucket[lo])
+            hashes, *values = _columns(self.path(b), self.width)
+            if not len(hashes):
                 continue
-            data, n = _mapped(path), self.sizes[b]
-            hashes = data[: 8 * n].view(np.uint64)
-            at = np.minimum(np.searchsorted(hashes, keys[lo:hi]), n - 1)
+            at = np.minimum(np.searchsorted(hashes, keys[lo:hi]), len(hashes) - 1)
             there = hashes[at] == keys[lo:hi]
-            place[lo:hi] = np.where(there, at + self.before[b], -1)
+            place[lo:hi] = np.where(there, at + (b << (_ID_BITS - self.bits)), -1)
             for o, c in zip(out, columns):
-                o[lo:hi] = np.where(there, data[8 * n * (1 + c) : 8 * n * (2 + c)].view(np.int64)[at], 0)
+                o[lo:hi] = np.where(there, values[c][at], 0)
         return place, out
 
 
@@ -254,26 +308,30 @@ class KneserNey:
 
 
 def fit_kneser_ney(df: DataFrame, text_col: str = "text") -> KneserNey:
-    """Count the model of all rows of df. A null or empty text is an end alone; an empty df gives a model by which every token is unknown."""
+    """Count the model of all rows of df. A null or empty text is an end alone; an empty df gives a model by which every token is unknown.
+
+    Bucket files are named by number and summed up in Spark, so what the driver holds doesn't grow. More words than ids can tell, of which there are four billion, are an error."""
     spark = df.sparkSession
     texts = df.select(F.col(text_col).cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(3, int(size // _BUCKET_BYTES).bit_length())
+    few = max(3, bits - 3)  # words are fewer than what is counted of them
     folder = shared_path(spark, "lm")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums(["h", "c"])
+        sums = _Sums(few, 1)
         for batch in batches:
             for h, _ in token_chunks(batch.column(0).to_pylist()):
                 yield from sums.add(np.concatenate([h, [START]]), np.concatenate([np.ones(len(h), np.int64), [0]]))
         yield from sums.out()
 
-    rows = _by_bucket(texts.mapInArrow(lean(words), "h long, c long"), bits, f"{folder}/words", 1, "lm-words")
-    vocabulary = Table.of(rows, bits, 1)
-    tokens, distinct = sum(r.sums[0] for r in rows), sum(r.positive for r in rows)
+    counted = _by_bucket(texts.mapInArrow(lean(words), _PACKED), few, f"{folder}/words", 1, "lm-words")
+    if counted.most > 1 << (_ID_BITS - few):
+        raise ValueError(f"{counted.most} words of a bucket are more than ids of {_ID_BITS} bits can tell")
+    vocabulary, tokens, distinct = Table(few, 1, f"{folder}/words"), counted.sum, counted.positive
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums(["h", "c"])
+        sums = _Sums(bits, 1)
         for batch in batches:
             for h, begins in token_chunks(batch.column(0).to_pylist()):
                 known, inverse = np.unique(np.concatenate([h, [START]]), return_inverse=True)
@@ -284,54 +342,44 @@ def fit_kneser_ney(df: DataFrame, text_col: str = "text") -> KneserNey:
                 yield from sums.add(pair, np.ones(len(pair), np.int64))
         yield from sums.out()
 
-    rows = _by_bucket(texts.mapInArrow(lean(bigrams), "h long, c long"), bits, f"{folder}/bigrams", 1, "lm-bigrams")
-    pairs = Table.of(rows, bits, 1)
-    ones = [sum(r.small[k] for r in rows) for k in range(4)]
+    seen = _by_bucket(texts.mapInArrow(lean(bigrams), _PACKED), bits, f"{folder}/bigrams", 1, "lm-bigrams")
+    pairs = Table(bits, 1, f"{folder}/bigrams")
 
     def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # What each bigram says of its context (total and numbers of counts 1, 2, 3+) and of its word (a word before it).
-        sums = _Sums(["h", "total", "one", "two", "more", "before"])
+        sums = _Sums(few, 5)
         for batch in batches:
-            for path, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = _mapped(path)
-                for at in range(0, n, 200_000):
-                    to = min(n, at + 200_000)
-                    pair, c = unmix64(data[8 * at : 8 * to].view(np.uint64)), data[8 * (n + at) : 8 * (n + to)].view(np.int64)
+            for bucket in batch.column(0).to_pylist():
+                keys, counts = _columns(pairs.path(bucket), 1)
+                for at in range(0, len(keys), 200_000):
+                    pair, c = unmix64(keys[at : at + 200_000]), counts[at : at + 200_000].astype(np.int64)
                     zero = np.zeros(len(c), np.int64)
                     yield from sums.add(mix64(pair >> np.uint64(32)), np.stack([c, c == 1, c == 2, c > 2, zero], 1).astype(np.int64))
                     yield from sums.add(mix64(pair & np.uint64(0xFFFFFFFF)), np.stack([zero, zero, zero, zero, zero + 1], 1))
-                _maps.pop(path, None)
         yield from sums.out()
 
-    files = spark.createDataFrame([(r.path, r.n) for r in rows], "path string, n long")
-    files = files.repartition(max(1, min(len(rows), 1 << bits)), "path")
-    schema = "h long, total long, one long, two long, more long, before long"
-    stat_rows = _by_bucket(files.mapInArrow(lean(statistics), schema), bits, f"{folder}/stats", 5, "lm-stats")
-    stats = Table.of(stat_rows, bits, 5)
+    _by_bucket(_of_buckets(spark, bits, statistics, _PACKED), few, f"{folder}/stats", 5, "lm-stats")
+    stats, kinds = Table(few, 5, f"{folder}/stats"), seen.n
 
     def befores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.zeros(5, np.int64)
-            for path, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n += np.bincount(np.minimum(_mapped(path)[8 * k * 5 : 8 * k * 6].view(np.int64), 5), minlength=6)[[1, 2, 3, 4, 5]]
-                _maps.pop(path, None)
+            for bucket in batch.column(0).to_pylist():
+                n += np.bincount(np.minimum(_columns(stats.path(bucket), 5)[5], 5).astype(np.int64), minlength=6)[1:]
             yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in n], ["n1", "n2", "n3", "n4", "n5"])
 
-    if stat_rows:
-        counted = spark.createDataFrame([(r.path, r.n) for r in stat_rows], "path string, n long").mapInArrow(lean(befores), "n1 long, n2 long, n3 long, n4 long, n5 long").groupBy().sum().first()
-    else:
-        counted = (0, 0, 0, 0, 0)
-    word_discounts, kinds = discounts(list(counted[:4])), sum(r.n for r in rows)
+    found = _of_buckets(spark, few, befores, "n1 long, n2 long, n3 long, n4 long, n5 long").groupBy().sum().first()
+    word_discounts = discounts(list(found[:4]))
     d1, d2, d3 = word_discounts
-    mass = (d1 * counted[0] + d2 * counted[1] + d3 * sum(counted[2:])) / kinds if kinds else 1.0
-    return KneserNey(vocabulary, pairs, stats, tokens, distinct, discounts(ones), word_discounts, kinds, mass)
+    mass = (d1 * found[0] + d2 * found[1] + d3 * sum(found[2:])) / kinds if kinds else 1.0
+    return KneserNey(vocabulary, pairs, stats, tokens, distinct, discounts([seen.one, seen.two, seen.three, seen.four]), word_discounts, kinds, mass)
 
 
 def score_kneser_ney(df: DataFrame, model: KneserNey, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns named in keep, n_tokens, n_known, train_tokens, base_score, score of every whole text, and perplexity.
 
     base_score is that of the words alone, score the log10 probability by the model. A null or empty text is an end alone. Rows are worked on alone; other columns don't matter.
-    The driver holds and sends the list of bucket files; workers map those into memory."""
+    The model that is sent has no more than folders and totals; workers map the bucket files that they need into memory."""
     from pyspark.sql import types as T
 
     names, shipped = tuple(keep), df.sparkSession.sparkContext.broadcast(model)

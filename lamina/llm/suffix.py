@@ -10,7 +10,6 @@ time. So each round sorts fewer positions, and ranks past the threshold are neve
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamina.llm.common import _BYTE, _power_tables, lean, mix64, shared_path, stored
-from lamina.llm.lm import _mapped, _save
+from lamina.llm.lm import _PARTITIONS, _mapped, _save
 
 #: Bytes of a string that counts as repeated, and of the names that doubling starts from.
 LENGTH, GRAM = 100, 32
@@ -104,6 +103,8 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, k = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         parts: list[tuple[np.ndarray, ...]] = []
         for first, data, bounds in _chunks(batch.column(2).to_pylist()):
+            if len(data) > int(_PLACE):
+                raise ValueError(f"a text of {len(data)} bytes: places have {int(_PLACE).bit_length()} bits")
             of, gram, context, place, before, after = anchors(data, bounds)
             if len(of):
                 # A place with the starts before and after it in one number, in the order of places.
@@ -194,16 +195,16 @@ def _keys(doc: np.ndarray, k: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Lists:
-    """Lists of pairs of numbers by document, in bucket files of sorted keys."""
+    """Lists of pairs of numbers by document, in bucket files of sorted keys, which are named by their number."""
 
     bits: int
-    files: dict[int, tuple[str, int]]
+    folder: str
 
     @classmethod
     def write(cls, df: DataFrame, folder: str, label: str) -> Lists:
-        """Of rows (doc, k, x, y). The driver gets a row for each bucket."""
-        n = df.count()
-        bits = max(3, int(n // _ENTRIES).bit_length())
+        """Of rows (doc, k, x, y)."""
+        bits = max(3, int(df.count() // _ENTRIES).bit_length())
+        folder = f"{folder}/{label}"
 
         def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -212,41 +213,38 @@ class Lists:
 
         def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts: list[tuple[np.ndarray, ...]] = []
-            bucket = -1
+            bucket, n = -1, 0
 
-            def close() -> Iterator[pa.RecordBatch]:
+            def close() -> None:
                 if parts:
-                    columns = [np.concatenate(c) for c in zip(*parts)]
-                    path = f"{folder}/{label}-{uuid.uuid4().hex}.bin"
-                    _save(path, *columns)
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([path]), pa.array([len(columns[0])])], ["bucket", "path", "n"])
+                    _save(f"{folder}/{bucket}.bin", *(np.concatenate(c) for c in zip(*parts)))
                 parts.clear()
 
             for batch in batches:
                 h, x, y = (batch.column(i).to_numpy() for i in range(3))
+                n += len(h)
                 of = (h.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
                 cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
                 for a, b in zip(cuts[:-1], cuts[1:]):
                     if b > a:
                         if of[a] != bucket:
-                            yield from close()
+                            close()
                             bucket = int(of[a])
                         parts.append((h[a:b].copy(), x[a:b].copy(), y[a:b].copy()))
-            yield from close()
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
 
         keys = df.select("doc", "k", "x", "y").mapInArrow(lean(keyed), "h long, x long, y long")
-        dealt = keys.repartition(max(4, (1 << bits) // 2), F.shiftrightunsigned("h", 64 - bits)).sortWithinPartitions(F.col("h").bitwiseXOR(F.lit(-(1 << 63))))
-        done = stored(dealt.mapInArrow(lean(save), "bucket long, path string, n long"), label)
-        return cls(bits, {r.bucket: (r.path, r.n) for r in done.collect()})
+        partitions = min(1 << bits, _PARTITIONS)
+        dealt = keys.repartitionById(partitions, F.pmod(F.shiftrightunsigned("h", 64 - bits), F.lit(partitions)).cast("int")).sortWithinPartitions(F.col("h").bitwiseXOR(F.lit(-(1 << 63))))
+        stored(dealt.mapInArrow(lean(save), "n long"), label)
+        return cls(bits, folder)
 
     def find(self, key: np.uint64) -> tuple[np.ndarray, np.ndarray]:
         """The pairs of a document, by its key."""
         none = np.zeros(0, np.int64)
-        found = self.files.get(int(key) >> (64 - self.bits))
-        if found is None:
-            return none, none
-        path, n = found
-        data = _mapped(path)
+        data = _mapped(f"{self.folder}/{int(key) >> (64 - self.bits)}.bin")
+        n = len(data) // 24
         h = data[: 8 * n].view(np.uint64)
         a, b = np.searchsorted(h, key, "left"), np.searchsorted(h, key, "right")
         return (data[8 * (n + a) : 8 * (n + b)].view(np.int64), data[8 * (2 * n + a) : 8 * (2 * n + b)].view(np.int64)) if b > a else (none, none)
