@@ -33,10 +33,8 @@ UNITS = (
     "dollar", "dollars", "cent", "cents", "euro", "euros", "percent", "degrees", "mph", "kmh",
 )
 
-#: Rows and bytes of benchmark windows that are broadcast; with more, the windows are joined by a shuffle. Matches aren't affected.
+#: Rows and bytes of benchmark windows that are broadcast, and keys of texts that are read again; with more, they are joined by a shuffle. Matches aren't affected.
 MAX_BROADCAST, MAX_BYTES = 2_000_000, 128 << 20
-#: Matches of templates that are broadcast; with more, they are joined with their texts by a shuffle.
-MAX_MATCHES = 200_000
 
 _TOKEN = r"\p{N}+(?:[.,]\p{N}+)*+|\p{L}+"
 #: Kinds of tokens: words as such, and what has a placeholder.
@@ -171,8 +169,11 @@ def leaks(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", id
     window = F.struct("__form", "__w", "__at", "__item_at", "__item_n", "__item_slots")
     wanted = matched.where(form != WORDS).join(covers, same[0] & same[1] & same[2], "left_semi").groupBy("__doc", "__th", "__item").agg(F.collect_set(window).alias("__x"))
     wanted = stored(wanted.select(F.col("__doc").alias("__w_doc"), F.col("__th").alias("__w_th"), "__item", "__x"), "templates")
-    size = wanted.agg(F.sum(F.size("__x")).alias("n")).first().n or 0
-    read = texts.join(F.broadcast(wanted) if size <= MAX_MATCHES else wanted, F.col("__doc").eqNullSafe(F.col("__w_doc")) & (F.col("__th") == F.col("__w_th")))
+    # Only the texts that are read again are dealt out.
+    keys = wanted.select("__w_doc", "__w_th").distinct()
+    same = F.col("__doc").eqNullSafe(F.col("__w_doc")) & (F.col("__th") == F.col("__w_th"))
+    some = texts.join(F.broadcast(keys) if keys.count() <= MAX_BROADCAST else keys, same, "left_semi")
+    read = some.join(wanted, same)
     told = _tokens(read, "__text", ("__doc", "__item", "__x")).select("__doc", "__item", "__t", "__kinds", "__starts", "__x")
     pairs = lambda m: F.zip_with(m["__item_slots"], _slots(m["__form"], m["__at"], m["__w"]), lambda i, d: F.struct(i.alias("i"), d.alias("d")))
     told = told.select("__doc", "__item", F.explode(F.transform("__x", lambda m: F.struct(*(m[c].alias(c) for c in ("__form", "__w", "__at", "__item_at", "__item_n")), pairs(m).alias("__pairs")))).alias("m"))
