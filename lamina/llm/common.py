@@ -22,11 +22,13 @@ SPACE = r"\x20\x09-\x0D"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir as the session has it.
 
-    Only where the session names none (a local test session) is a temporary folder made and set."""
+    Only where a local session names none, as in tests, is a temporary folder made and set; on a cluster that is an error, as executors couldn't read it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or ""
     if not found:
         found = spark.sparkContext.getCheckpointDir() or ""
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lamina-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -87,11 +87,11 @@ class ToxicityModel:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
-        for n, text, places in _chunked(batch.column(1).to_pylist()):
+        for n, text, places in _chunked(batch.column(2).to_pylist()):
             pairs = np.unique(text << BITS | places)
             cuts = np.searchsorted(pairs >> BITS, np.arange(n + 1))
             found += [(pairs[a:b] & ((1 << BITS) - 1)).astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["toxic", "places"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["id", "toxic", "places"])
 
 
 def fit_rows(toxic: np.ndarray, rows: list[np.ndarray], counterfactual: float = COUNTERFACTUAL) -> ToxicityModel:
@@ -143,13 +143,15 @@ def fit_rows(toxic: np.ndarray, rows: list[np.ndarray], counterfactual: float =
 def fit_toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, counterfactual: float = COUNTERFACTUAL) -> ToxicityModel:
     """Fit the classifier to the labelled documents outside the held-out fold.
 
-    The sample is bounded by max_labelled, and only sets of word places come to the driver, in all some tens of MB. Rows without a label or an id aren't used; of contradicting
-    labels of an id the larger holds; repeated documents count once each. With no labels, or one class alone, every score is near the share of that class."""
+    The sample is bounded by max_labelled ids, and only sets of word places come to the driver, in all some tens of MB. Rows without a label or an id aren't used; of contradicting
+    labels of an id the larger holds; an id counts once, of several texts that with the smallest hash of its places. With no labels, or one class alone, every score is near the share of that class."""
     named = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__toxic")).where("__toxic IS NOT NULL AND __id IS NOT NULL")
     named = named.where(crc_mod(F.col("__id"), FOLDS) != 0).groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
     sample = named.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
     joined = documents.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(sample), "__id")
-    found = joined.select("__toxic", "__text").mapInArrow(lean(_features), "toxic int, places binary").orderBy(F.xxhash64("places"), "places", "toxic").limit(2 * max_labelled).toArrow()
+    told = joined.select(F.xxhash64("__id").alias("id"), "__toxic", "__text").mapInArrow(lean(_features), "id long, toxic int, places binary")
+    first = told.groupBy("id").agg(F.min(F.struct(F.xxhash64("places").alias("h"), "places", "toxic")).alias("r"))
+    found = first.select("r.*").orderBy("h", "places", "toxic").select("toxic", "places").toArrow()
     rows = [np.frombuffer(x.as_py(), "<u4") for x in found.column("places")]
     return fit_rows(found.column("toxic").to_numpy().astype(np.int64), rows, counterfactual)
 
