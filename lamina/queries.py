@@ -169,7 +169,7 @@ def dictionary_state(spark: SparkSession, sf: str) -> DataFrame:
     return _named(R.dictionary_states(_chunks(spark, sf)).groupBy("file", "path", "state").agg(F.count("*").alias("groups")))
 
 
-@query(f"SELECT tbl, path, (sum(num_values) // sum(row_group_num_rows))::BIGINT AS avg_values FROM {_META} WHERE tbl = 'embeddings' AND type IN ('FLOAT', 'DOUBLE') GROUP BY ALL")
+@query(f"SELECT tbl, path, (sum(num_values) // sum(row_group_num_rows))::BIGINT AS avg_values FROM {_META} WHERE path LIKE '%.list.%' AND type IN ('FLOAT', 'DOUBLE') GROUP BY ALL")
 def embedding_width(spark: SparkSession, sf: str) -> DataFrame:
     return _named(R.vector_widths(_chunks(spark, sf))).select("tbl", "path", "avg_values")
 
@@ -195,6 +195,13 @@ def _row_group_sql(chunks: str) -> str:
     )
 
 
+def _policy_sql(chunks: str) -> str:
+    return (
+        "SELECT tbl, count(DISTINCT g)::BIGINT AS groups, count(DISTINCT g) FILTER (rg_rows > 65536)::BIGINT AS oversized_rows, count(DISTINCT g) FILTER (rg_compressed > 268435456)::BIGINT AS oversized_bytes, "
+        f"least(65536, min(CASE WHEN rg_compressed > 268435456 THEN greatest(1, rg_rows * 268435456 // rg_compressed) END))::BIGINT AS target_rows FROM {chunks} GROUP BY tbl"
+    )
+
+
 def _codec_sql(chunks: str) -> str:
     sums = (
         "SELECT tbl, path, physical, logical, sum(uncompressed) AS u, sum(compressed) / sum(uncompressed) AS r, count(*) AS n, count(*) FILTER (uncompressed > 0) AS m, arg_min(codec, g) AS c0, arg_min(codec, g) FILTER (uncompressed > 0) AS c1, "
@@ -266,7 +273,7 @@ def rule_missing_page_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return _rule(spark, sf, "missing-page-statistics")
 
 
-@query(_rule_sql(f"SELECT tbl, path FROM {_META} WHERE tbl = 'embeddings' AND type IN ('FLOAT', 'DOUBLE') GROUP BY ALL HAVING sum(num_values) // sum(row_group_num_rows) >= 64", "warning", "file data_page_size_limit 262144", "data_page_size_limit"))
+@query(_rule_sql(f"SELECT tbl, path FROM {_META} WHERE path LIKE '%.list.%' AND type IN ('FLOAT', 'DOUBLE') GROUP BY ALL HAVING sum(num_values) // sum(row_group_num_rows) >= 64", "warning", "file data_page_size_limit 262144", "data_page_size_limit"))
 def rule_vector_embedding(spark: SparkSession, sf: str) -> DataFrame:
     return _rule(spark, sf, "vector-embedding-page-size")
 
@@ -309,7 +316,7 @@ def rule_string_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _rule(spark, sf, "oversized-string-statistics")
 
 
-@query(f"SELECT tbl, count(DISTINCT row_group_id)::BIGINT AS groups, count(DISTINCT row_group_id) FILTER (row_group_num_rows > 65536)::BIGINT AS oversized_rows, 0::BIGINT AS oversized_bytes, 65536::BIGINT AS target_rows FROM {_META} GROUP BY tbl")
+@query(_policy_sql(_TABLE_CHUNKS))
 def row_group_policy(spark: SparkSession, sf: str) -> DataFrame:
     return _named(R.row_group_policy(_chunks(spark, sf)))
 
@@ -397,10 +404,7 @@ def dictionary_summary_cases(spark: SparkSession, sf: str) -> DataFrame:
     return _named(R.dictionary_summary(_case_inputs(spark))).select("tbl", "path", "fallback", "no_dictionary", "groups", F.round("ratio", 9).alias("ratio"), "limit", "action")
 
 
-@query(
-    "SELECT tbl, count(DISTINCT g)::BIGINT AS groups, count(DISTINCT g) FILTER (rg_rows > 65536)::BIGINT AS oversized_rows, count(DISTINCT g) FILTER (rg_compressed > 268435456)::BIGINT AS oversized_bytes, "
-    f"least(65536, min(CASE WHEN rg_compressed > 268435456 THEN greatest(1, rg_rows * 268435456 // rg_compressed) END))::BIGINT AS target_rows FROM {_CASE_CHUNKS} GROUP BY tbl"
-)
+@query(_policy_sql(_CASE_CHUNKS))
 def row_group_policy_cases(spark: SparkSession, sf: str) -> DataFrame:
     return _named(R.row_group_policy(_case_inputs(spark).chunks))
 
@@ -462,14 +466,20 @@ def lint_prescriptions(spark: SparkSession, sf: str) -> DataFrame:
     return _named(L.last_wins(L.directives(L.lint(spark, *_paths(sf))))).select("tbl", "scope", "path", "property", "value")
 
 
-@query(f"SELECT tbl, path, any_value(compression) AS codec, 'plain' AS encoding, true AS dictionary, 'chunk' AS statistics, false AS bloom_filter FROM {_META} GROUP BY tbl, path")
+@query(
+    "SELECT tbl, path, any_value(compression) AS codec, any_value(CASE WHEN regexp_matches(encodings, '(^|[ ,])PLAIN($|[ ,])') THEN 'plain' END) AS encoding, bool_or(dictionary_page_offset IS NOT NULL OR encodings LIKE '%DICTIONARY%') AS dictionary, "
+    f"CASE WHEN bool_or(stats_null_count IS NOT NULL OR stats_min_value IS NOT NULL) THEN 'chunk' ELSE 'none' END AS statistics, bool_or(bloom_filter_offset IS NOT NULL) AS bloom_filter FROM {_META} GROUP BY tbl, path"
+)
 def writer_columns(spark: SparkSession, sf: str) -> DataFrame:
     from lamina.plans.writer import inferred_columns
 
     return _named(inferred_columns(_chunks(spark, sf))).select("tbl", "path", "codec", F.lower("encoding").alias("encoding"), "dictionary", "statistics", "bloom_filter")
 
 
-@query(f"SELECT tbl, 'v2' AS version, max(row_group_num_rows)::BIGINT AS max_row_group_size FROM {_META} GROUP BY tbl")
+_FILE_META = f"(SELECT {_TBL} AS tbl, * FROM parquet_file_metadata([" + ", ".join(f"'{p}'" for p in _paths(SF)) + "]))"
+
+
+@query(f"SELECT f.tbl, CASE any_value(f.format_version) WHEN 1 THEN 'v1' WHEN 2 THEN 'v2' END AS version, max(m.row_group_num_rows)::BIGINT AS max_row_group_size FROM {_FILE_META} AS f JOIN {_META} AS m USING (tbl) GROUP BY f.tbl")
 def writer_files(spark: SparkSession, sf: str) -> DataFrame:
     from lamina.plans.writer import inferred_files
 
@@ -506,6 +516,69 @@ def rewrite_arrow(spark: SparkSession, sf: str) -> DataFrame:
     return _rewritten(spark, sf, "lineitem", "set column l_shipdate encoding delta_binary_packed\nset column l_tax compression zstd(3)\nset file max_row_group_size 20000")
 
 
+_LAYOUT = "set file max_row_group_size 4000\nset column o_orderkey bloom_filter true\nset column o_orderkey dictionary false\nset column o_custkey dictionary false\nset column o_orderstatus statistics none\nset file data_page_size_limit 65536"
+
+
+def _layout(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = footers(spark, folder)
+    uses = F.bool_or(F.arrays_overlap("encodings", F.array(F.lit("PLAIN_DICTIONARY"), F.lit("RLE_DICTIONARY"))))
+    return chunks.groupBy("path").agg(
+        F.max("codec").alias("codec"), F.concat_ws(",", F.array_sort(F.array_except(F.array_distinct(F.flatten(F.collect_list("encodings"))), F.array(*map(F.lit, ("RLE", "BIT_PACKED", "PLAIN", "PLAIN_DICTIONARY", "RLE_DICTIONARY")))))).alias("other_encodings"),
+        uses.alias("dictionary"), F.bool_or(F.col("bloom_offset").isNotNull()).alias("bloom"), F.bool_or("has_stats").alias("statistics"), F.count("*").alias("groups"), F.max("rg_rows").alias("most_rows"), F.sum("num_values").cast("bigint").alias("num_values"),
+    )
+
+
+def _expected(table: str, codec: str, other: str, dictionary: str, bloom: str, statistics: str, rows: int) -> str:
+    return (
+        f"SELECT path, {codec} AS codec, {other} AS other_encodings, {dictionary} AS dictionary, {bloom} AS bloom, {statistics} AS statistics, ceil(sum(row_group_num_rows) / {rows})::BIGINT AS groups, "
+        f"least({rows}, sum(row_group_num_rows))::BIGINT AS most_rows, sum(num_values)::BIGINT AS num_values FROM {_META} WHERE tbl = '{table}' GROUP BY path"
+    )
+
+
+def _steps(spark: SparkSession, source: str, *texts: str) -> DataFrame:
+    """The layout after rewrites one after another."""
+    from lamina.operators.rewrite import rewrite
+    from lamina.plans.dsl import Prescription
+
+    folder = _scratch(spark)
+    for k, text in enumerate(texts):
+        rewrite(spark, source, f"{folder}/{k}", Prescription.parse(text), single=True)
+        source = f"{folder}/{k}"
+    return _layout(spark, source)
+
+
+#: The values of o_totalprice hardly repeat: Spark's writer drops a dictionary that is no smaller than the values.
+_NATIVE = ("any_value(compression)", "''", "path NOT IN ('o_orderkey', 'o_custkey', 'o_totalprice')", "path = 'o_orderkey'", "path <> 'o_orderstatus'")
+
+
+@query(_expected("orders", *_NATIVE, 4000))
+def rewrite_native_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """How orders is written after a rewrite by Spark's writer."""
+    return _steps(spark, f"{sf}/orders.parquet", _LAYOUT)
+
+
+@query(_expected("orders", *_NATIVE, 4000))
+def rewrite_native_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """The same after another rewrite that says nothing of these settings: they are inferred and kept."""
+    return _steps(spark, f"{sf}/orders.parquet", _LAYOUT, "set file data_page_size_limit 131072")
+
+
+_MIXED = "set column l_shipdate encoding delta_binary_packed\nset column l_tax compression zstd(3)\nset column l_discount dictionary false\nset column l_quantity statistics none\nset file max_row_group_size 20000"
+_ARROW = ("CASE path WHEN 'l_tax' THEN 'ZSTD' ELSE any_value(compression) END", "CASE path WHEN 'l_shipdate' THEN 'DELTA_BINARY_PACKED' ELSE '' END", "path NOT IN ('l_shipdate', 'l_discount')", "false", "path <> 'l_quantity'")
+
+
+@query(_expected("lineitem", *_ARROW, 20000))
+def rewrite_arrow_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """How lineitem is written after a rewrite by the Arrow writer."""
+    return _steps(spark, f"{sf}/lineitem.parquet", _MIXED)
+
+
+@query(_expected("lineitem", *_ARROW, 20000))
+def rewrite_arrow_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """The same after another rewrite that sets what holds already for one column."""
+    return _steps(spark, f"{sf}/lineitem.parquet", _MIXED, "set column l_tax compression zstd(3)")
+
+
 # -- scalar functions -------------------------------------------------------------------------------------------------
 
 _NUMBERS = "(VALUES (1, 100, 1000, 10000000), (2, 7, 10, 33), (3, 0, 5, 5), (4, 50000, 60000, 900000000), (5, 3, 4, 0)) AS t(id, a, b, c)"
