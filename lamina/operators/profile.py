@@ -214,17 +214,23 @@ def columns(chunks: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
 
 
 def value_profile(df: DataFrame, *names: str) -> DataFrame:
-    """For columns of data: (column, num_values, non_null, distinct, min_length, max_length, avg_length), exact; lengths in bytes of strings and binaries. One pass over the data, all columns together."""
-    out = []
+    """For columns of data: (column, num_values, non_null, distinct, min_length, max_length, avg_length), exact (but that 64-bit hashes of distinct values are taken to differ); lengths in bytes of strings and binaries.
+
+    One pass over the data: what is shuffled is a hash for each distinct value, counted before it goes out, and no values."""
+    rows = []
     for n in names or df.columns:
         x = F.col(f"`{n}`")
-        size = F.octet_length(x) if isinstance(df.schema[n].dataType, (T.StringType, T.BinaryType)) else F.lit(None).cast("int")
-        out.append(F.struct(
-            F.lit(n).alias("column"), F.count("*").alias("num_values"), F.count(x).alias("non_null"), F.count_distinct(x).alias("distinct"),
-            F.min(size).cast("bigint").alias("min_length"), F.max(size).cast("bigint").alias("max_length"), F.avg(size).alias("avg_length"),
-        ).alias(f"__{len(out)}"))
-    one = df.agg(*(x for x in out))
-    return one.select(F.explode(F.array(*one.columns)).alias("x")).select("x.*")
+        size = F.octet_length(x) if isinstance(df.schema[n].dataType, (T.StringType, T.BinaryType)) else F.lit(None)
+        rows.append(F.struct(F.lit(n).alias("column"), F.when(x.isNotNull(), F.xxhash64(x)).alias("h"), size.cast("bigint").alias("size")))
+    values = df.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    by_value = values.groupBy("column", "h").agg(F.count("*").alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi"), F.sum("size").alias("sum"), F.count("size").alias("sized"))
+    known = F.col("h").isNotNull()
+    found = by_value.groupBy("column").agg(
+        F.sum("n").alias("num_values"), F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("non_null"), F.count("h").alias("distinct"), F.min("lo").alias("min_length"), F.max("hi").alias("max_length"),
+        (F.sum("sum") / F.sum("sized")).alias("avg_length"),
+    )
+    columns = df.sparkSession.createDataFrame([(n,) for n in names or df.columns], "column string")
+    return columns.join(F.broadcast(found), "column", "left").select("column", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("num_values", "non_null", "distinct")), "min_length", "max_length", "avg_length")
 
 
 def prefix_cardinality(spark: SparkSession, location: str, column: str, rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -146,16 +146,51 @@ def cardinality_sampled(spark: SparkSession, sf: str) -> DataFrame:
     return reduce(DataFrame.unionByName, map(one, _SAMPLED))
 
 
-@query()
+# The columns of the tables in order, by kind: integers, floats, strings, times (as microseconds) and lists.
+_KINDS = {
+    "region": "r_regionkey:i r_name:s", "nation": "n_nationkey:i n_name:s n_regionkey:i", "customer": "c_custkey:i c_name:s c_nationkey:i c_acctbal:f c_mktsegment:s", "supplier": "s_suppkey:i s_name:s s_nationkey:i s_acctbal:f",
+    "part": "p_partkey:i p_name:s p_brand:s p_type:s p_size:i p_retailprice:f", "orders": "o_orderkey:i o_custkey:i o_orderstatus:s o_totalprice:f o_orderdate:t o_orderpriority:s",
+    "lineitem": "l_orderkey:i l_partkey:i l_suppkey:i l_linenumber:i l_quantity:f l_extendedprice:f l_discount:f l_tax:f l_returnflag:s l_linestatus:s l_shipdate:t", "events": "event_id:i ts:t user_id:i event_type:s value:f props:s",
+    "documents": "doc_id:i text:s lang:s source:s n_chars:i", "embeddings": "vec_id:i embedding:l label:i", "pages": "page_id:i url:s html:s", "benchmark": "item_id:i text:s", "labels": "doc_id:i quality:i toxic:i", "conversations": "conv_id:i turn:i role:s text:s",
+}
+
+
+def _profile_sql(columns: str, of: str) -> str:
+    """columns and the bounds of every column, by its kind, of the rows of a table."""
+    parts = []
+    for t, cs in _KINDS.items():
+        for i, x in enumerate(cs.split()):
+            c, k = x.split(":")
+            number = {"i": f"{c}::BIGINT", "t": f"epoch_us({c})"}.get(k)
+            bounds = [f"min({number})::BIGINT AS int_min, max({number})::BIGINT AS int_max" if number else "NULL::BIGINT AS int_min, NULL::BIGINT AS int_max"]
+            bounds.append(f"min({c})::DOUBLE AS float_min, max({c})::DOUBLE AS float_max" if k == "f" else "NULL::DOUBLE AS float_min, NULL::DOUBLE AS float_max")
+            bounds.append(f"min({c}) AS text_min, max({c}) AS text_max, min(strlen({c}))::BIGINT AS length_min, max(strlen({c}))::BIGINT AS length_max, round(avg(strlen({c})), 6) AS length_avg" if k == "s" else
+                          "NULL::VARCHAR AS text_min, NULL::VARCHAR AS text_max, NULL::BIGINT AS length_min, NULL::BIGINT AS length_max, NULL::DOUBLE AS length_avg")
+            parts.append(f"SELECT '{t}' AS tbl, {i}::INT AS col_idx, {columns.format(c=c, distinct=f'count({c})' if k == 'l' else f'count(DISTINCT {c})', kind={'f': 'float', 's': 'string', 'l': 'float'}.get(k, 'int'))}, {', '.join(bounds)} FROM {of.format(t=t)}")
+    return " UNION ALL ".join(parts)
+
+
+_BOUND_NAMES = ("int_min", "int_max", "float_min", "float_max", "text_min", "text_max", "length_min", "length_max", "length_avg")
+
+
+@query(_profile_sql("count({c})::BIGINT AS sampled, {distinct}::BIGINT AS distinct_values", "(SELECT * FROM read_parquet('" + SF + "/{t}.parquet', file_row_number=true) WHERE file_row_number < 16384)"))
 def sample_profile(spark: SparkSession, sf: str) -> DataFrame:
     """What bounded samples of all flat files say of their columns."""
-    return _named(P.sampled(files(spark, *_paths(sf)))).drop("bytes_min", "bytes_max")
+    return _named(P.sampled(files(spark, *_paths(sf)))).select("tbl", "col_idx", "sampled", F.col("distinct").alias("distinct_values"), *_BOUND_NAMES[:-1], F.round("length_avg", 6).alias("length_avg"))
 
 
-@query()
+@query(
+    "SELECT * FROM (" + _profile_sql("'{kind}' AS kind, count(*)::BIGINT AS num_values, (count(*) - count({c}))::BIGINT AS null_count, {distinct}::BIGINT AS distinct_count, count({c})::BIGINT AS non_null_count", "{t}") + ") WHERE tbl <> 'embeddings' OR col_idx <> 1"
+)
 def column_profiles(spark: SparkSession, sf: str) -> DataFrame:
-    """The full profile of every leaf column."""
-    return _named(P.columns(_chunks(spark, sf)))
+    """The full profile of every column that isn't a list, its bounds side by side. Writers put a least zero as -0.0, which is shown as 0.0."""
+    found = _named(P.columns(_chunks(spark, sf)).where("max_rep_level = 0"))
+    zero = lambda kind, x: x + F.lit(0.0) if kind == "float" else x
+    of = lambda kind: [zero(kind, F.col(f"{kind}_stats")[x]).alias(f"{'text' if kind == 'string' else kind}_{x}") for x in ("min", "max")]
+    lengths = F.col("string_stats")["lengths"]
+    return found.select(
+        "tbl", "col_idx", "kind", "num_values", "null_count", "distinct_count", "non_null_count", *of("int"), *of("float"), *of("string"), lengths["min"].alias("length_min"), lengths["max"].alias("length_max"), F.round(lengths["avg"], 6).alias("length_avg"),
+    )
 
 
 @query()
