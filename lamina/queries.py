@@ -535,7 +535,11 @@ def _scratch(spark: SparkSession) -> str:
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lamina-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="lamina-")
     return f"{base.rstrip('/')}/rewrite-{uuid.uuid4().hex}"
 
 

@@ -293,6 +293,42 @@ def test_inputs(spark, tmp_path):
         footers(spark, str(tmp_path / "bad.parquet")).collect()
 
 
+def test_files_of_the_web(spark, sample):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    path, _ = sample
+    with open(path.removeprefix("file://"), "rb") as f:
+        data = f.read()
+
+    class Ranges(BaseHTTPRequestHandler):
+        def do_GET(self):
+            if self.path == "/whole.parquet":
+                self.send_response(200)
+                self.end_headers()
+                self.wfile.write(data)
+                return
+            a, b = map(int, self.headers["Range"].removeprefix("bytes=").split("-"))
+            self.send_response(206)
+            self.send_header("Content-Range", f"bytes {a}-{b}/{len(data)}")
+            self.end_headers()
+            self.wfile.write(data[a : b + 1])
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Ranges)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        address = f"http://127.0.0.1:{server.server_port}/one.parquet"
+        keep = lambda df: sorted((r.rule, r.message) for r in df.collect())
+        assert keep(lint(spark, address)) == keep(lint(spark, path))
+        with pytest.raises(Exception, match="range requests"):
+            footers(spark, address.replace("one", "whole")).collect()
+    finally:
+        server.shutdown()
+
+
 def test_command_line(spark, sample, tmp_path, capsys):
     path, _ = sample
     out = str(tmp_path / "p.txt")
