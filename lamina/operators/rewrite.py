@@ -121,21 +121,29 @@ class _Store:
         self.fs.delete(self.path(address), True)
 
 
+def _weighed(found: DataFrame, columns: DataFrame) -> DataFrame:
+    """Directives with why they aren't to be applied, if so: small (the column's dictionary is the better encoding) or large (its dictionary wouldn't be smaller than the values of a row group)."""
+    rows = found.where("property = 'max_row_group_size'").groupBy("file").agg(F.max(F.col("value").cast("bigint")).alias("rows"))
+    known = columns.select("file", "path", "ratio", "distinct_count").join(rows, "file", "left")
+    joined = found.join(known, ["file", "path"], "left")
+    why = F.when((F.col("property") == "encoding") & (F.col("ratio") < SMALL_DICTIONARY), "small").when((F.col("property") == "dictionary_page_size_limit") & (F.col("distinct_count") >= F.col("rows")), "large")
+    return joined.select(*found.columns, F.coalesce(why, F.lit("")).alias("why"))
+
+
 def rewrite(spark: SparkSession, source: str, target: str, wanted: Prescription | None = None, unsafe: bool = False, single: bool = False) -> list[tuple[Plan, list[str]]]:
     """Rewrite the file or folder source to the folder target; the plans that were carried out, each with the files it was for, or none if there was nothing to do.
 
     Each file is written as it was, but for the prescription, without one that of lint for the file; files that are to be written alike are written together. single writes one file for each plan; else each task
     writes its own, and rows keep their order within files. Schema and rows stay as they are. What lies at target is replaced when all is written. A source and a target that are the same or lie in each other are an error.
 
-    Of lint's encodings those are left out that would take the place of a dictionary of few values, which is smaller."""
+    Of lint's directives those are left out that would make files larger: encodings in place of a dictionary of few values, and larger dictionaries of columns with more values than a row group will have rows, which lose theirs."""
     _apart(source, target)
     chunks = footers(spark, source).cache()
     try:
         found = None
         if wanted is None:
             inputs = Inputs(chunks)
-            small = inputs.cardinality.where(F.col("ratio") < SMALL_DICTIONARY).join(inferred_columns(chunks).where("dictionary"), ["file", "col_idx"]).select("file", "path", F.lit("encoding").alias("property"), F.lit(True).alias("small"))
-            found = last_wins(directives(lint(spark, inputs=inputs))).join(small, ["file", "path", "property"], "left").withColumn("small", F.coalesce("small", F.lit(False)))
+            found = _weighed(last_wins(directives(lint(spark, inputs=inputs))), inputs.cardinality.join(inferred_columns(chunks).where("dictionary"), ["file", "col_idx"]))
         groups = [(s, Prescription.parse("\n".join(lines)) if wanted is None else wanted, skipped, files) for s, lines, skipped, files in infer_all(chunks, found)]
     finally:
         chunks.unpersist()

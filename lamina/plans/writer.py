@@ -53,6 +53,8 @@ def inferred_files(chunks: DataFrame) -> DataFrame:
     )
 
 
+#: Why directives of lint aren't applied.
+WHY = {"small": "the column's dictionary of few values is smaller", "large": "a row group has fewer rows than the dictionary would have values"}
 #: Rows of a row group that writers make by themselves.
 USUAL_ROWS = 1_048_576
 
@@ -117,8 +119,8 @@ def infer(chunks: DataFrame) -> Settings:
     return out
 
 
-def infer_all(chunks: DataFrame, found: DataFrame | None = None) -> list[tuple[Settings, list[str], set[str], list[str]]]:
-    """The settings of files, with their directives as text and those of them that are marked small in found (file, ordinal, scope, path, property, value, small): a tuple, with the names of its files, for all files that have the same.
+def infer_all(chunks: DataFrame, found: DataFrame | None = None) -> list[tuple[Settings, list[str], dict[str, str], list[str]]]:
+    """The settings of files, with their directives as text and why some aren't to be applied, by found (file, ordinal, scope, path, property, value, why): a tuple, with the names of its files, for all files that have the same.
 
     The driver gets the distinct settings and the names of files. The largest row group isn't a setting of files that have one of a usual size."""
     column = F.struct("col_idx", "path", "codec", "encoding", "dictionary", "statistics", "bloom_filter")
@@ -127,18 +129,18 @@ def infer_all(chunks: DataFrame, found: DataFrame | None = None) -> list[tuple[S
     rows = F.when(F.col("several") | (F.col("max_row_group_size") > USUAL_ROWS), F.col("max_row_group_size")).alias("rows")
     one = inferred_files(chunks).join(several, "file").join(columns, "file").select("file", "version", "created_by", F.array_sort(F.map_entries("key_values")).alias("key_values"), "sorting", rows, "columns")
     if found is None:
-        one = one.withColumn("lines", F.array().cast("array<struct<line:string,small:boolean>>"))
+        one = one.withColumn("lines", F.array().cast("array<struct<line:string,why:string>>"))
     else:
-        line = F.struct("ordinal", F.concat_ws(" ", F.lit("set"), "scope", "path", "property", "value").alias("line"), "small")
-        lines = found.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: F.struct(x["line"].alias("line"), x["small"].alias("small"))).alias("lines"))
-        one = one.join(lines, "file", "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<struct<line:string,small:boolean>>")))
+        line = F.struct("ordinal", F.concat_ws(" ", F.lit("set"), "scope", "path", "property", "value").alias("line"), "why")
+        lines = found.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: F.struct(x["line"].alias("line"), x["why"].alias("why"))).alias("lines"))
+        one = one.join(lines, "file", "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<struct<line:string,why:string>>")))
     keys = [c for c in one.columns if c != "file"]
     out = []
     for r in one.groupBy(*keys).agg(F.array_sort(F.collect_list("file")).alias("files")).collect():
         s = Settings(max_row_group_size=r.rows, version=r.version, created_by=r.created_by, key_values={k: v for k, v in r.key_values or ()}, sorting=r.sorting)
         for c in r.columns:
             s.columns[c.path] = ColumnSettings(codec=codec_of(c.codec), encoding=(c.encoding or "").lower() or None, dictionary=c.dictionary, statistics=c.statistics, bloom_filter=c.bloom_filter)
-        out.append((s, [x.line for x in r.lines], {x.line for x in r.lines if x.small}, list(r.files)))
+        out.append((s, [x.line for x in r.lines], {x.line: x.why for x in r.lines if x.why}, list(r.files)))
     return sorted(out, key=lambda x: x[3])
 
 
@@ -235,12 +237,15 @@ def _lost(settings: Settings, sink: str) -> list[str]:
     return out
 
 
-def plan(prescription: Prescription, settings: Settings | None = None, unsafe: bool = False, skipped: set[str] = frozenset()) -> Plan:
-    """Choose the sink for a prescription: the native one if it can apply all of it. With unsafe also layouts are written that Spark's vectorized reader can't read. Directives whose text is in skipped aren't applied."""
+def plan(prescription: Prescription, settings: Settings | None = None, unsafe: bool = False, skipped: dict[str, str] | None = None) -> Plan:
+    """Choose the sink for a prescription: the native one if it can apply all of it. With unsafe also layouts are written that Spark's vectorized reader can't read. Directives whose text is in skipped aren't applied;
+    a column whose dictionary is too large (see rewrite) has none."""
     kept, left = [], []
     for d in prescription.settled().values():
-        if str(d) in skipped:
-            left.append((d, "the column's dictionary of few values is smaller"))
+        if why := (skipped or {}).get(str(d)):
+            left.append((d, WHY[why]))
+            if why == "large":
+                kept.append(Directive("dictionary", False, d.path))
         elif d.property == "encoding" and d.value == "byte_stream_split" and not unsafe:
             left.append((d, "Spark's vectorized reader can't read BYTE_STREAM_SPLIT"))
         elif d.property == "compression" and d.value.name == "brotli" and not unsafe:
