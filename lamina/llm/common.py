@@ -68,8 +68,10 @@ def crc_mod(id_col: Column, n: int) -> Column:
 # ---------------------------------------------------------------------------------------------------------------------
 
 
-def lean(work):
-    """work for mapInArrow, with what a task has freed given back to the machine: workers live on, and what they keep counts against those that run beside them."""
+def lean(work, mapped: int = 1 << 20):
+    """work for mapInArrow, with what a task has freed given back to the machine: workers live on, and what they keep counts against those that run beside them.
+
+    Arrays of so many mapped bytes and more are given back when they are freed; what is smaller now and then. That takes some time of arrays that come and go, so work that is near its time and not its memory may say more."""
 
     @functools.wraps(work)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,12 +79,15 @@ def lean(work):
         if sys.platform == "linux":
             try:
                 libc = ctypes.CDLL("libc.so.6")
-                libc.mallopt(-3, 16 << 20)  # larger arrays are mapped, and so given back when they are freed
+                libc.mallopt(-3, mapped)
                 pa.set_memory_pool(pa.system_memory_pool())
             except (OSError, AttributeError):
                 libc = None  # another C library: nothing to tell it
         try:
-            yield from work(batches)
+            for n, batch in enumerate(work(batches)):
+                yield batch
+                if libc and n % 64 == 63:
+                    libc.malloc_trim(0)
         finally:
             gc.collect()
             if libc:

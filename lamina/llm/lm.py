@@ -29,6 +29,8 @@ FOLDS, BASE_ADD = 10, 0.1
 _CHUNK, _KEPT, _BUCKET_BYTES = 2 << 20, 1_000_000, 6 << 20
 #: Sums of a bucket that go out in a row, and that a task keeps at least; partitions that buckets are dealt to at most; bits of a word's id.
 _ROW, _LEAST, _PARTITIONS, _ID_BITS = 4096, 1 << 16, 50_000, 32
+#: Bytes of arrays that are given back at once.
+_FREED = 16 << 20
 #: Bytes and number of bucket files that a worker has mapped at most.
 _MAPPED, _MAPS = 384 << 20, 8192
 _PACKED = "bucket long, sums binary"
@@ -211,7 +213,7 @@ def _by_bucket(df: DataFrame, bits: int, folder: str, width: int, label: str) ->
     """Write the buckets of packed rows; what _buckets says of them, summed."""
     partitions = min(1 << bits, _PARTITIONS)
     dealt = df.repartitionById(partitions, F.pmod("bucket", F.lit(partitions)).cast("int")).sortWithinPartitions("bucket")
-    done = stored(dealt.mapInArrow(lean(_buckets(folder, width)), _SUMMARY), label)
+    done = stored(dealt.mapInArrow(lean(_buckets(folder, width), _FREED), _SUMMARY), label)
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in done.columns[:-1]]
     return done.agg(*sums, F.coalesce(F.max("most"), F.lit(0)).alias("most")).first()
 
@@ -219,7 +221,7 @@ def _by_bucket(df: DataFrame, bits: int, folder: str, width: int, label: str) ->
 def _of_buckets(spark: SparkSession, bits: int, work, schema: str) -> DataFrame:
     """What work says of the numbers of all buckets."""
     numbers = spark.range(0, 1 << bits, 1, max(1, min(_PARTITIONS, (1 << bits) // 4)))
-    return numbers.mapInArrow(lean(work), schema)
+    return numbers.mapInArrow(lean(work, _FREED), schema)
 
 
 @dataclass
@@ -325,7 +327,7 @@ def fit_kneser_ney(df: DataFrame, text_col: str = "text") -> KneserNey:
                 yield from sums.add(np.concatenate([h, [START]]), np.concatenate([np.ones(len(h), np.int64), [0]]))
         yield from sums.out()
 
-    counted = _by_bucket(texts.mapInArrow(lean(words), _PACKED), few, f"{folder}/words", 1, "lm-words")
+    counted = _by_bucket(texts.mapInArrow(lean(words, _FREED), _PACKED), few, f"{folder}/words", 1, "lm-words")
     if counted.most > 1 << (_ID_BITS - few):
         raise ValueError(f"{counted.most} words of a bucket are more than ids of {_ID_BITS} bits can tell")
     vocabulary, tokens, distinct = Table(few, 1, f"{folder}/words"), counted.sum, counted.positive
@@ -342,7 +344,7 @@ def fit_kneser_ney(df: DataFrame, text_col: str = "text") -> KneserNey:
                 yield from sums.add(pair, np.ones(len(pair), np.int64))
         yield from sums.out()
 
-    seen = _by_bucket(texts.mapInArrow(lean(bigrams), _PACKED), bits, f"{folder}/bigrams", 1, "lm-bigrams")
+    seen = _by_bucket(texts.mapInArrow(lean(bigrams, _FREED), _PACKED), bits, f"{folder}/bigrams", 1, "lm-bigrams")
     pairs = Table(bits, 1, f"{folder}/bigrams")
 
     def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,7 +396,7 @@ def score_kneser_ney(df: DataFrame, model: KneserNey, text_col: str = "text", ke
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *map(pa.array, found)], [*names, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     out = [T.StructField(c, t()) for c, t in zip(("n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"), (T.LongType,) * 3 + (T.DoubleType,) * 3)]
-    return df.select(*names, F.col(text_col).cast("string").alias("__text")).mapInArrow(lean(work), T.StructType([*(df.schema[c] for c in names), *out]))
+    return df.select(*names, F.col(text_col).cast("string").alias("__text")).mapInArrow(lean(work, _FREED), T.StructType([*(df.schema[c] for c in names), *out]))
 
 
 def training_rows(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
