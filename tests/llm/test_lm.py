@@ -85,3 +85,23 @@ def test_empty_table(spark):
 def test_unmix():
     x = np.random.default_rng(0).integers(0, 2**64, 1000, dtype=np.uint64)
     assert np.array_equal(L.unmix64(mix64(x)), x)
+
+
+def test_long_texts_and_clashing_names(spark):
+    long = "some words of a text " * 60_000
+    docs = [(1, long), (2, "some words"), (3, "x" * 1_000_000), (4, None)]
+    model = Brute([t for i, t in docs if zlib.crc32(str(i).encode()) % 10])
+    names = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity", "held_out")
+    df = spark.createDataFrame([(i, t, *range(7)) for i, t in docs], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    for r in lm_scores(df).collect():
+        want = model.row(dict(docs)[r.doc_id])
+        assert (r.n_tokens, r.n_known, r.train_tokens) == want[:3] and r.base_score == pytest.approx(want[3], rel=1e-9) and r.score == pytest.approx(want[4], rel=1e-9)
+
+
+def test_few_mapped_files(spark, monkeypatch):
+    """Files that are mapped anew whenever they are needed give the same."""
+    monkeypatch.setattr(L, "_MAPPED", 0)
+    docs = [(i, f"a b{i % 7} c{i % 3} a") for i in range(40)]
+    model = Brute([t for i, t in docs if zlib.crc32(str(i).encode()) % 10])
+    for r in lm_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        assert r.score == pytest.approx(model.row(dict(docs)[r.doc_id])[4], rel=1e-9)

@@ -110,3 +110,14 @@ def test_once_over_batches():
     assert [len(c) for c in S._once(none, none, last=(1, 1))] == [0, 0]
     assert [c.tolist() for c in S._once(some, some, last=(1, 1))] == [[2], [2]]
     assert [c.tolist() for c in S._once(some, some)] == [[1, 2], [1, 2]]
+
+
+def test_very_long_text(spark):
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    plain = lambda n: "".join(rng.choice("ijklmnop ") for _ in range(n))
+    long = plain(120_000) + passage + plain(60_000) + passage[50:350] + plain(20_000)
+    rows = [(1, "x " + passage + " y"), (2, long), (3, long[:1000] + "!")]
+    df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, n_bytes int")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeat_digest(df).collect()}
+    assert got == brute(rows) and got[2][1] >= 700
