@@ -242,6 +242,7 @@ def _row_groups(x: Inputs) -> DataFrame:
     found = row_group_policy(x.chunks).where("oversized_rows > 0 OR oversized_bytes > 0")
     by_rows = F.when(c("oversized_rows") > 0, F.format_string("%d of %d row groups have more than %d rows", c("oversized_rows"), c("groups"), F.lit(ROW_GROUP_ROWS)))
     by_size = F.when(c("oversized_bytes") > 0, F.format_string("%d of %d have more than 256 MiB", c("oversized_bytes"), c("groups")))
+    # Fixed value: the end of the message, whatever the target.
     say = F.concat(F.concat_ws("; ", by_rows, by_size), F.lit("; max_row_group_size="), c("target_rows").cast("string"), F.lit(" (64K rows), data_page_size_limit=1MB"))
     return _finding(found, "page-row-group-size", "warning", say, F.array(directive("file", None, "max_row_group_size", c("target_rows")), directive("file", None, "data_page_size_limit", DATA_PAGE_BYTES)), of_file=True)
 
