@@ -40,7 +40,7 @@ LATER = (
 )
 
 #: Distinct words whose ids a worker keeps, and bytes of text that it works on at a time.
-CACHE_WORDS, CHUNK_BYTES = 250_000, 5 << 20
+CACHE_WORDS, CHUNK_BYTES = 100_000, 1 << 20
 
 
 def _split_patterns() -> tuple:
