@@ -138,7 +138,7 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 19) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 16) -> np.ndarray:
     """64-bit hashes of the byte spans, which lie in order and don't overlap. Equal bytes give equal hashes wherever they stand."""
     out = np.empty(len(starts), np.uint64)
     at = 0

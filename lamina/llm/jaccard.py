@@ -32,7 +32,7 @@ MAX_BROADCAST, BLOCK = 1_000_000, 512
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _SINGLE = np.uint64(0xD6E8FEB86659FD93)
-_CHUNK = 2 << 20
+_CHUNK = 1 << 19
 #: Signatures that a bucket has about, and that are held at most of one; pairs and words of parity bits compared at a time.
 _BUCKET, _HELD, _PAIRS, _WORDS = 1 << 20, 4_000_000, 200_000, 1 << 18
 #: Signatures of a bucket that go out in a row, and that go out of a task at a time at least and at most.
