@@ -192,15 +192,21 @@ def cardinality_ratio(distinct: Column, count: Column) -> Column:
     return F.when(count == 0, F.lit(0.0)).otherwise(distinct / count)
 
 
-def columns(chunks: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The full profile of each leaf column: types, totals, distinct values, and by kind bounds and byte lengths, from statistics and where these lack them from a sample."""
+def columns(chunks: DataFrame, rows: int = SAMPLE_ROWS, exact: DataFrame | None = None) -> DataFrame:
+    """The full profile of each leaf column: types, totals, distinct values, and by kind bounds and byte lengths, from statistics and where these lack them from a sample.
+
+    exact has what all values say, to stand in place of statistics, estimates and samples: distinct_count, non_null_count, the bounds and the lengths by file and col_idx; columns that it lacks have none of these."""
     c = F.col
     totals = column_totals(chunks).withColumn("kind", kind(c("physical_type"), c("logical_type")))
-    flat = totals.where("root_fields = leaves").select("file").distinct()
-    names = [x.split(" ")[0] for x in _BOUNDS.split(", ")[3:]]
-    sample = sampled(flat, rows).select(*KEY, *(c(n).alias(f"s_{n}") for n in names), "length_min", "length_max", "length_avg")
-    joined = totals.drop("non_null_count").join(cardinality(chunks, rows), KEY, "left").join(footer_bounds(chunks), KEY, "left").join(sample, KEY, "left")
-    value = lambda n: F.coalesce(n, f"s_{n}")
+    if exact is None:
+        flat = totals.where("root_fields = leaves").select("file").distinct()
+        names = [x.split(" ")[0] for x in _BOUNDS.split(", ")[3:]]
+        sample = sampled(flat, rows).select(*KEY, *(c(n).alias(f"s_{n}") for n in names), "length_min", "length_max", "length_avg")
+        joined = totals.drop("non_null_count").join(cardinality(chunks, rows), KEY, "left").join(footer_bounds(chunks), KEY, "left").join(sample, KEY, "left")
+        value = lambda n: F.coalesce(n, f"s_{n}")
+    else:
+        joined = totals.drop("non_null_count").join(exact, KEY, "left").withColumn("null_count", F.coalesce(c("num_values") - c("non_null_count"), c("null_count")))
+        value = c
     lengths = F.struct(c("length_min").alias("min"), c("length_max").alias("max"), c("length_avg").alias("avg"))
     pair = lambda n, *more: F.struct(value(f"{n}_min").alias("min"), value(f"{n}_max").alias("max"), *more)
     of = lambda k, s: F.when(c("kind") == k, s)
@@ -233,6 +239,34 @@ def value_profile(df: DataFrame, *names: str) -> DataFrame:
     return columns.join(F.broadcast(found), "column", "left").select("column", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("num_values", "non_null", "distinct")), "min_length", "max_length", "avg_length")
 
 
+def value_bounds(df: DataFrame, *names: str) -> DataFrame:
+    """For columns of data: (column, int_min, int_max, float_min, ..., bytes_max), exact, by kind; times in microseconds, dates in days, texts in byte order, a zero of either sign as 0.0, NaN as the largest number.
+
+    One pass over the data; a row for each task is shuffled."""
+    names = names or tuple(df.columns)
+    ends = df.agg(*(getattr(F, side)(f"`{n}`").alias(f"{side}{i}") for i, n in enumerate(names) for side in ("min", "max")))
+    kinds = {"int": "bigint", "float": "double", "bool": "boolean", "text": "string", "bytes": "binary"}
+
+    def shown(x: str, of: T.DataType) -> tuple[str | None, Column]:
+        if isinstance(of, (T.FloatType, T.DoubleType)):
+            return "float", F.col(x).cast("double") + F.lit(0.0)
+        if isinstance(of, T.IntegralType):
+            return "int", F.col(x)
+        if isinstance(of, T.DateType):
+            return "int", F.unix_date(x)
+        if isinstance(of, T.TimestampType):
+            return "int", F.unix_micros(x)
+        if isinstance(of, T.TimestampNTZType):
+            return "int", F.expr(f"CAST({x} - TIMESTAMP_NTZ'1970-01-01' AS DECIMAL(20, 6)) * 1000000")  # without a time zone
+        return {T.BooleanType: "bool", T.StringType: "text", T.BinaryType: "bytes"}.get(type(of)), F.col(x)
+
+    rows = []
+    for i, n in enumerate(names):
+        found = {side: shown(f"{side}{i}", df.schema[n].dataType) for side in ("min", "max")}
+        rows.append(F.struct(F.lit(n).alias("column"), *((found[s][1] if found[s][0] == k else F.lit(None)).cast(t).alias(f"{k}_{s}") for k, t in kinds.items() for s in ("min", "max"))))
+    return ends.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
 def prefix_cardinality(spark: SparkSession, location: str, column: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(distinct, sampled, total, scaled): the sampled estimate of one column of a file by Spark's row index, exact as to which rows are the first."""
     data = spark.read.parquet(location).select(F.col(f"`{column}`").alias("v"), F.col("_metadata.row_index").alias("i"))
