@@ -103,10 +103,19 @@ def _leaf_names(schema: pa.Schema) -> list[tuple[str, ...]]:
 
 
 _SAMPLED = "file string, col_idx int, sampled long, distinct long, int_min long, int_max long, float_min double, float_max double, bool_min boolean, bool_max boolean, text_min string, text_max string, bytes_min binary, bytes_max binary, length_min long, length_max long, length_avg double"
+_HASHED = _SAMPLED + ", length_sum long, hashes array<long>"
 
 
-def _profile_sample(address: str, rows: int) -> list[dict]:
-    """What the first rows of a flat file say of its columns: a list of values counts each row as its own."""
+def _hashes(values: pa.Array) -> list[int]:
+    """64-bit hashes of values: numbers as such, others by their bytes."""
+    from hashlib import blake2b
+
+    of = lambda x: int.from_bytes(blake2b(x if isinstance(x, bytes) else repr(x).encode(), digest_size=8).digest(), "little", signed=True)
+    return [int(x) if isinstance(x, int) and -(1 << 63) <= x < 1 << 63 else of(x) for x in values.to_pylist()]
+
+
+def _profile_sample(address: str, rows: int, across: bool = False) -> list[dict]:
+    """What the first rows of a flat file say of its columns: a list of values counts each row as its own. Across row groups, with hashes of the distinct values."""
     import pyarrow.compute as pc
 
     from lamina.sources.sample import arrow_schema
@@ -115,8 +124,8 @@ def _profile_sample(address: str, rows: int) -> list[dict]:
     out = []
     if len(_leaf_names(schema)) != len(schema):
         return out  # nested: rows don't line up with leaves
-    table = pa.Table.from_batches(sample_batches(address, schema.names, rows), schema)
-    names = [x.split(" ")[0] for x in _SAMPLED.split(", ")]
+    table = pa.Table.from_batches(sample_batches(address, schema.names, rows, across), schema)
+    names = [x.split(" ")[0] for x in (_HASHED if across else _SAMPLED).split(", ")]
     for i, name in enumerate(schema.names):
         column = table.column(name).combine_chunks().drop_null() if len(table) else table.column(name)
         row = dict.fromkeys(names) | {"file": address, "col_idx": i, "sampled": len(column)}
@@ -125,9 +134,14 @@ def _profile_sample(address: str, rows: int) -> list[dict]:
             row["distinct"] = len(column)
         elif pa.types.is_floating(t):  # by bits, so that zeros of either sign and NaNs of other bits differ
             bits = column.view({16: pa.int16(), 32: pa.int32(), 64: pa.int64()}[t.bit_width]) if isinstance(column, pa.Array) else column
-            row["distinct"] = len(pc.unique(bits))
+            distinct = pc.unique(bits)
         else:
-            row["distinct"] = len(pc.unique(column))
+            distinct = pc.unique(column)
+        if not pa.types.is_nested(t):
+            row["distinct"] = len(distinct)
+            if across:
+                whole = {32: pa.int32(), 64: pa.int64()}.get(t.bit_width) if pa.types.is_temporal(t) else pa.large_binary() if pa.types.is_string(t) or pa.types.is_large_string(t) else None
+                row["hashes"] = _hashes(distinct.cast(whole) if whole else distinct)
         if len(column) and not pa.types.is_nested(t):
             if pa.types.is_floating(t):
                 numbers = column.filter(pc.invert(pc.is_nan(column)))
@@ -147,21 +161,37 @@ def _profile_sample(address: str, rows: int) -> list[dict]:
                     row["text_min"], row["text_max"] = row["bytes_min"].decode(), row["bytes_max"].decode()
                 sizes = pc.binary_length(raw)
                 row["length_min"], row["length_max"], row["length_avg"] = pc.min(sizes).as_py(), pc.max(sizes).as_py(), pc.mean(sizes).as_py()
+                if across:
+                    row["length_sum"] = pc.sum(sizes).as_py()
         out.append(row)
     return out
 
 
-def sampled(files: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """For each flat file (column file) and leaf column what a sample of its first rows says; one row group of a file is read, from its start. Nested files have no rows."""
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+def sampled(files: DataFrame, rows: int = SAMPLE_ROWS, across: bool = False) -> DataFrame:
+    """For each flat file (column file) and leaf column what a sample of its first rows says; one row group of a file is read, from its start, or across row groups as many as have these rows. Nested files have no rows.
+
+    Across row groups, length_sum and hashes of the distinct values are added, by which samples are put together."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    shape = _HASHED if across else _SAMPLED
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for address in batch.column(0).to_pylist():
-                if found := _profile_sample(address, rows):
-                    yield pa.RecordBatch.from_pylist(found, pa.schema([(x.split(" ")[0], kinds[x.split(" ")[1]]) for x in _SAMPLED.split(", ")]))
+                if found := _profile_sample(address, rows, across):
+                    yield pa.RecordBatch.from_pylist(found, pa.schema([(x.split(" ")[0], kinds[x.split(" ")[1]]) for x in shape.split(", ")]))
+
+    return files.select("file").mapInArrow(work, T._parse_datatype_string(shape))
 
-    return files.select("file").mapInArrow(work, T._parse_datatype_string(_SAMPLED))
+
+def samples_together(samples: DataFrame) -> DataFrame:
+    """Samples across row groups with one file and col_idx as one: their values are counted together, distinct ones by hash (lists each as its own)."""
+    ends = [x.split(" ")[0] for x in _SAMPLED.split(", ") if x.split(" ")[0].endswith(("_min", "_max"))]
+    sums = samples.groupBy(*KEY).agg(
+        F.sum("sampled").alias("sampled"), F.sum(F.when(F.col("hashes").isNull(), F.col("distinct"))).alias("lists"), *(getattr(F, n.rsplit("_", 1)[1])(n).alias(n) for n in ends),
+        (F.sum("length_sum") / F.sum(F.when(F.col("length_sum").isNotNull(), F.col("sampled")))).alias("length_avg"),
+    )
+    values = samples.select(*KEY, F.explode("hashes").alias("h")).distinct().groupBy(*KEY).agg(F.count("*").alias("values"))
+    return sums.join(values, KEY, "left").withColumn("distinct", F.coalesce("lists", "values", F.lit(0))).drop("lists", "values")
 
 
 def cardinality(chunks: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:

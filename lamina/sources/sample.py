@@ -22,13 +22,13 @@ def spark_schema(schema: pa.Schema) -> pa.Schema:
     return pa.schema([f.with_type(wider.get(f.type, f.type)) for f in schema])
 
 
-def sample_batches(address: str, columns: list[str], rows: int) -> Iterator[pa.RecordBatch]:
-    """At most so many rows of the first row group with rows (of none, nothing)."""
+def sample_batches(address: str, columns: list[str], rows: int, across: bool = False) -> Iterator[pa.RecordBatch]:
+    """At most so many rows of the first row group with rows (of none, nothing), or of the file across its row groups."""
     with open_file(address) as f:
         file = pq.ParquetFile(f)
         groups = [g for g in range(file.num_row_groups) if file.metadata.row_group(g).num_rows]
         left = rows
-        for batch in file.iter_batches(batch_size=min(8192, rows), row_groups=groups[:1], columns=columns) if groups else ():
+        for batch in file.iter_batches(batch_size=min(8192, rows), row_groups=groups if across else groups[:1], columns=columns) if groups else ():
             yield (part := batch.slice(0, left))
             left -= len(part)
             if left <= 0:
