@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -269,6 +270,14 @@ def value_profile(df: DataFrame, *names: str) -> DataFrame:
     return columns.join(F.broadcast(found), "column", "left").select("column", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("num_values", "non_null", "distinct")), "min_length", "max_length", "avg_length")
 
 
+def value_cardinality(df: DataFrame) -> DataFrame:
+    """(column, distinct_count, non_null_count) of all columns of data, counted; of lists their elements count."""
+    lists = [f.name for f in df.schema if isinstance(f.dataType, T.ArrayType)]
+    flat = [n for n in df.columns if n not in lists]
+    parts = ([value_profile(df, *flat)] if flat else []) + [value_profile(df.select(F.explode(f"`{n}`").alias(n)), n) for n in lists]
+    return reduce(DataFrame.unionByName, parts).select("column", F.col("distinct").alias("distinct_count"), F.col("non_null").alias("non_null_count"))
+
+
 def value_bounds(df: DataFrame, *names: str) -> DataFrame:
     """For columns of data: (column, int_min, int_max, float_min, ..., bytes_max), exact, by kind; times in microseconds, dates in days, texts in byte order, a zero of either sign as 0.0, NaN as the largest number.
 
